@@ -13,7 +13,7 @@ from functools import lru_cache
 
 #: Characters outside which Python's \w, \d and \s are known to agree with \p{L}, \p{N} and \s: ASCII without the
 #: separators 1C-1F, Latin up to 024F without the numerals that are no decimal digits, general punctuation 2010-2027.
-UNSAFE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-‏ -\U0010ffff]")
+UNSAFE = re.compile(f"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe{chr(0x250)}-{chr(0x200F)}{chr(0x2028)}-{chr(0x10FFFF)}]")
 
 _L, _OTHER = r"[^\W\d_]", r"(?:[^\w\s]|_)"
 _SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"

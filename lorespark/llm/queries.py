@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lorespark.llm import bpe_automaton as ba
 from lorespark.llm import token_counts as tc
 from lorespark.llm.common import documents
 
@@ -15,5 +16,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_token_counts": op2_token_counts}
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ba.digests(ba.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op5_bpe_automaton": op5_bpe_automaton,
+}
 ORACLES: dict[str, str] = {}
