@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorespark.llm import bpe_automaton as ba
+from lorespark.llm import license_scan as ls
+from lorespark.llm import line_dedup as ld
 from lorespark.llm import token_counts as tc
 from lorespark.llm.common import documents
 
@@ -20,8 +23,31 @@ def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ba.digests(ba.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ls.summary(ls.scan(documents(spark, sf_dir)))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ld.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op8_line_dedup": op8_line_dedup,
+}
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, pos, line, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+            FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+        gone AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(g.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE g.key IS NULL), '')) AS kept_sha256
+        FROM lines LEFT JOIN gone g USING (key) GROUP BY doc_id""",
 }
-ORACLES: dict[str, str] = {}
