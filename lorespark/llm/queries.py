@@ -12,6 +12,7 @@ from lorespark.llm import bpe_automaton as ba
 from lorespark.llm import license_scan as ls
 from lorespark.llm import line_dedup as ld
 from lorespark.llm import token_counts as tc
+from lorespark.llm import winnowing as wn
 from lorespark.llm.common import documents
 
 
@@ -27,6 +28,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.summary(ls.scan(documents(spark, sf_dir)))
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wn.summary(wn.fingerprints(documents(spark, sf_dir)))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ld.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -35,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op7_winnowing": op7_winnowing,
     "op8_line_dedup": op8_line_dedup,
 }
 
