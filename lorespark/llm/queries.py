@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.llm import bpe_automaton as ba
+from lorespark.llm import decontamination as dc
 from lorespark.llm import license_scan as ls
 from lorespark.llm import line_dedup as ld
 from lorespark.llm import token_counts as tc
@@ -20,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.summary(dc.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ba.digests(ba.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -39,6 +44,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
+    "op4_decontamination": op4_decontamination,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op7_winnowing": op7_winnowing,
     "op8_line_dedup": op8_line_dedup,
@@ -46,7 +52,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+        b AS (SELECT cast(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        win AS (SELECT DISTINCT item_id, len(v) AS size, array_to_string(v, ' ') AS win
+                FROM (SELECT item_id, unnest([w[s : s + 9] FOR s IN range(1, greatest(len(w) - 9, 1) + 1)]) AS v
+                      FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT size FROM win),
+        runs AS (SELECT doc_id, size, s, array_to_string(w[s : s + size - 1], ' ') AS win
+                 FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes)),
+        hits AS (SELECT doc_id, r.s, r.size, item_id FROM runs r JOIN win USING (size, win)),
+        places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                   FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+                  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op8_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, pos, line, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
