@@ -13,6 +13,7 @@ from lorespark.llm import decontamination as dc
 from lorespark.llm import license_scan as ls
 from lorespark.llm import line_dedup as ld
 from lorespark.llm import token_counts as tc
+from lorespark.llm import token_files as tf
 from lorespark.llm import winnowing as wn
 from lorespark.llm.common import documents
 
@@ -41,6 +42,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ld.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tf.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_automaton": op5_bpe_automaton,
     "op7_winnowing": op7_winnowing,
     "op8_line_dedup": op8_line_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
