@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from lorespark.llm import bpe_automaton as ba
 from lorespark.llm import decontamination as dc
+from lorespark.llm import language_id as li
 from lorespark.llm import license_scan as ls
 from lorespark.llm import line_dedup as ld
+from lorespark.llm import pseudo_likelihood as pl
 from lorespark.llm import token_counts as tc
 from lorespark.llm import token_files as tf
 from lorespark.llm import winnowing as wn
@@ -34,6 +36,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.summary(ls.scan(documents(spark, sf_dir)))
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pl.pseudo_likelihood(documents(spark, sf_dir))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.summary(wn.fingerprints(documents(spark, sf_dir)))
 
@@ -42,6 +48,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ld.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return li.identify(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tf.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -51,8 +61,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_pseudo_likelihood": op6_pseudo_likelihood,
     "op7_winnowing": op7_winnowing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
 
