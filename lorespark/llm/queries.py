@@ -13,6 +13,7 @@ from lorespark.llm import decontamination as dc
 from lorespark.llm import language_id as li
 from lorespark.llm import license_scan as ls
 from lorespark.llm import line_dedup as ld
+from lorespark.llm import minhash as mh
 from lorespark.llm import pseudo_likelihood as pl
 from lorespark.llm import token_counts as tc
 from lorespark.llm import token_files as tf
@@ -20,6 +21,10 @@ from lorespark.llm import winnowing as wn
 from lorespark.llm.common import documents
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mh.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -57,6 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
@@ -73,6 +79,21 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 _WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op1_minhash": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, s FROM (
+            SELECT doc_id, unnest([array_to_string(w[k : k + 4], ' ') FOR k IN range(1, greatest(len(w) - 4, 1) + 1)]) AS s
+            FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+                   FROM sh x JOIN sh y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id
+                  WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+        near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN near l ON r.b = l.a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
     "op4_decontamination": f"""
         WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
         b AS (SELECT cast(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
