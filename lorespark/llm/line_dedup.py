@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lorespark.llm import common
@@ -137,19 +138,33 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     return common.map_text(per_doc, run, "doc long, version long, keep_bitmap binary", "doc", "version", "gone")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """doc_id, kept text, n_lines before and n_dropped of each row of docs."""
-    sized = docs.select("doc_id", "text").withColumn("_version", _version(F.col("text")))
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, carry: list[str]) -> DataFrame:
+    """rest (a struct of the carried columns), kept text, n_lines before and n_dropped of each row of docs."""
     b = bitmaps.select(F.col("doc").alias("_doc"), F.col("version").alias("_v"), "keep_bitmap")
-    joined = sized.join(b, sized["doc_id"].eqNullSafe(b["_doc"]) & (F.col("_version") == F.col("_v")), "left")
+    sized = docs.select(F.struct(*(docs[c] for c in carry)).alias("rest"), docs["text"], docs["doc_id"].alias("_id"), _version(docs["text"]).alias("_version"))
+    joined = sized.join(b, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_version") == F.col("_v")), "left").select("rest", "text", "keep_bitmap")
 
-    def run(ids: list, texts: list, maps: list) -> dict:
-        texts = [x or "" for x in texts]
-        kept, n = zip(*((x, 0) if m is None else kept_lines(x, m) for x, m in zip(texts, maps))) if texts else ((), ())
-        return {"doc_id": ids, "text": list(kept), "n_lines": [x.count("\n") + 1 for x in texts], "n_dropped": list(n)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            kept = [(x, 0) if m is None else kept_lines(x, m) for x, m in zip(texts, batch.column(2).to_pylist())]
+            columns = [batch.column(0), pa.array([x for x, _ in kept], pa.string()), pa.array([x.count("\n") + 1 for x in texts], pa.int64()), pa.array([n for _, n in kept], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["rest", "text", "n_lines", "n_dropped"])
 
-    return common.map_text(joined, run, "doc_id long, text string, n_lines long, n_dropped long", "doc_id", "text", "keep_bitmap")
+    common.short_batches(docs.sparkSession)
+    long = T.LongType()
+    return joined.mapInArrow(run, T.StructType([joined.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_lines", long), T.StructField("n_dropped", long)]))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    return apply_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, keep_first))
+    """doc_id, kept text, n_lines, n_dropped of each row."""
+    done = apply_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, keep_first), ["doc_id"])
+    return done.select("rest.doc_id", "text", "n_lines", "n_dropped")
+
+
+def without_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """docs with the kept text for the text, n_chars counted anew where there is such a column, and its other columns."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    done = apply_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars), others)
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return done.select(*(made.get(c, F.col("rest")[c].alias(c)) for c in docs.columns))
