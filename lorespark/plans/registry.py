@@ -5,7 +5,470 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lorespark.functions import scoring as sc
+from lorespark.functions import scrub as sb
+from lorespark.functions import text as tx
+from lorespark.operators import access, compress, federated, governance, identity, ingest, memory, retrieval, views
+from lorespark.plans import oracles as o
+from lorespark.sources import adapters as ad
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "acl_visible_chunks"
+FLAGSHIP = "rrf_hybrid"
+ALL = ["group:all"]
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _normalized(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as one chunk, which is what it is without headings and blank lines."""
+    items = ad.source_items(spark, sf)
+    return items.withColumns({"content_hash": tx.content_hash(F.col("text")), "chunk": F.col("text"), "chunk_index": F.lit(0)})
+
+
+def _folded(spark: SparkSession, sf: str) -> DataFrame:
+    return memory.fold_superseded(ad.memory_events(spark, sf))
+
+
+# ---- ingest
+
+
+@query(o.ACL_VISIBLE)
+def acl_visible_chunks(spark, sf):
+    seen = access.visible(_normalized(spark, sf), None, ALL)
+    return seen.groupBy("workspace").agg(F.countDistinct("content_hash").alias("n_chunks"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+@query(o.CHUNK_DEDUP)
+def chunk_dedup_by_hash(spark, sf):
+    return ingest.new_chunks(_normalized(spark, sf)).select("content_hash", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(o.INGEST_STATS)
+def ingest_stats(spark, sf):
+    items = ad.source_items(spark, sf)
+    return ingest.stats(items, _normalized(spark, sf))
+
+
+@query(o.FIRST_SEEN_ACL)
+def first_seen_acl(spark, sf):
+    return ingest.first_seen_acl(_normalized(spark, sf)).select("content_hash", "workspace", F.array_join("allowed_principals", ",").alias("principals"))
+
+
+@query(o.RAW_EVENT_LATEST)
+def raw_event_latest(spark, sf):
+    items = ad.source_items(spark, sf).withColumn("source_id", (F.col("seq") % 100).cast("string"))
+    return ingest.latest_events(items).select("source", "source_id", "workspace", "event_id")
+
+
+@query(o.DEDUP_GATE)
+def dedup_gate(spark, sf):
+    return ingest.dedup_flags(_normalized(spark, sf)).groupBy("workspace").agg(F.sum(F.col("computed").cast("long")).alias("computed"), F.sum((~F.col("computed")).cast("long")).alias("reused"))
+
+
+@query()
+def chunk_paragraph_pack(spark, sf):
+    rows = ingest.chunk_rows(ad.structured_items(spark, sf))
+    return rows.select("seq", "chunk_index", "content_hash", F.length("chunk").alias("n_chars"))
+
+
+@query()
+def ingest_full(spark, sf):
+    got = ingest.ingest(ad.items_with_secrets(spark, sf))
+    return got.acl.join(got.event_chunks, "content_hash").groupBy("workspace").agg(F.countDistinct("content_hash").alias("chunks"), F.count(F.lit(1)).alias("links"))
+
+
+@query(o.NORMALIZED_LENGTHS)
+def normalized_text(spark, sf):
+    n = tx.normalize(F.col("text"))
+    return ad.source_items(spark, sf).select("seq", F.length(n).cast("long").alias("n_chars"), tx.content_hash(F.col("text")).alias("content_hash"))
+
+
+# ---- scrub
+
+
+@query(o.REDACTION_COUNTS)
+def redaction_counts(spark, sf):
+    return sb.redaction_report(sb.scrub(ad.items_with_secrets(spark, sf)), [])
+
+
+@query(o.REDACTION_REPORT)
+def redaction_report(spark, sf):
+    return sb.redaction_report(sb.scrub(ad.items_with_secrets(spark, sf)), ["workspace", "source"])
+
+
+@query(o.SCRUB_EMAIL_SSN)
+def scrub_email_ssn(spark, sf):
+    clean = ad.items_with_secrets(spark, sf)
+    for kind, pattern in (("ssn", sb.SSN), ("email", sb.EMAIL)):
+        clean = clean.withColumn("text", F.regexp_replace("text", pattern, sb.mark(kind)))
+    return clean.select("seq", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def scrub_all_pii(spark, sf):
+    done = sb.scrub(ad.items_with_secrets(spark, sf), pii=True)
+    return done.select("seq", F.sha2("text", 256).alias("text_sha256"), F.aggregate("redactions", F.lit(0), lambda a, r: a + r["count"]).alias("n_redactions"))
+
+
+@query(o.CARD_LUHN)
+def card_luhn_count(spark, sf):
+    d = ad.source_items(spark, sf).where(F.col("lang") == "en")
+    return d.select(F.size(sb.cards(F.col("text"))).alias("n")).agg(F.sum("n").alias("n_cards"))
+
+
+@query(o.RECENT_REDACTIONS)
+def recent_redactions(spark, sf):
+    done = sb.scrub(ad.items_with_secrets(spark, sf))
+    rows = done.select("source_id", "occurred_at", F.explode("redactions").alias("r")).select("source_id", "occurred_at", "r.kind", "r.count")
+    return views.recent_redactions(rows).select("source_id", "kind", F.col("count").cast("long").alias("n"))
+
+
+# ---- memory
+
+
+@query(o.CLASSIFY)
+def classify_entity(spark, sf):
+    both = ad.memory_events(spark, sf).select("entity_key").union(ad.memory_conversations(spark, sf).select("entity_key"))
+    return both.distinct().select("entity_key", sc.entity_kind(F.col("entity_key")).alias("kind"))
+
+
+@query(o.EFFECTIVE)
+def effective_confidence(spark, sf):
+    return memory.effective(ad.memory_events(spark, sf), ad.as_of()).select("id", F.round("effective_confidence", 6).alias("effective_confidence"))
+
+
+@query(o.EVICT_PREVIEW)
+def evict_preview(spark, sf):
+    return memory.eviction_counts(ad.memory_events(spark, sf), ad.as_of())
+
+
+@query(o.EVICT_SURVIVORS)
+def evict_survivors(spark, sf):
+    return memory.survivors(ad.memory_events(spark, sf), ad.as_of()).groupBy("workspace", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+@query(o.EVICT_EXAMPLES)
+def evict_examples_top5(spark, sf):
+    return memory.eviction_examples(ad.memory_events(spark, sf), ad.as_of()).select("tier", F.col("rn").cast("long").alias("rn"), "id")
+
+
+@query(o.PROMOTE)
+def promote_semantic_candidates(spark, sf):
+    return memory.promotable(ad.memory_events(spark, sf), ad.as_of(), min_eff=0.3).select("id", "workspace", "entity_key")
+
+
+@query(o.FOLD)
+def memory_fold_superseded(spark, sf):
+    return _folded(spark, sf).select("id", "superseded_by")
+
+
+@query(o.RECALL)
+def recall_current(spark, sf):
+    return memory.recall(_folded(spark, sf), ad.as_of()).select("workspace", "entity_key", "id", F.round("effective_confidence", 6).alias("effective_confidence"))
+
+
+@query(o.HISTORY)
+def memory_history(spark, sf):
+    seen = access.visible(memory.history(_folded(spark, sf)), "ws1", ALL)
+    return seen.select("entity_key", "id", "is_current")
+
+
+@query(o.DAG)
+def memory_dag_edges(spark, sf):
+    folded = _folded(spark, sf)
+    return memory.dag_edges(folded, access.visible(folded, None, ALL))
+
+
+@query(o.ENTITIES)
+def entity_listing(spark, sf):
+    return memory.entities(access.visible(_folded(spark, sf), None, ALL))
+
+
+@query(o.REINFORCE)
+def reinforced_memory(spark, sf):
+    rows = ad.memory_events(spark, sf)
+    reads = rows.where(F.col("id") % 3 == 0).select((F.col("id") % 500).alias("id"), F.col("created_at").alias("ts"))
+    return memory.reinforce(rows, reads).select("id", "reference_count", F.date_format("last_referenced_at", "yyyy-MM-dd HH:mm:ss").alias("last_read"))
+
+
+# ---- governance
+
+
+def _authority(spark, sf):
+    rows = ad.memory_events(spark, sf).withColumn("entity_kind", sc.entity_kind(F.col("entity_key")))
+    return governance.with_authority(rows, *ad.writer_tables(spark))
+
+
+@query(o.AUTHORITY)
+def authority_lookup(spark, sf):
+    return _authority(spark, sf).select("workspace", "source_type", "source_id", "entity_kind", "authority", "governed").distinct()
+
+
+@query()
+def governed_fold(spark, sf):
+    return memory.fold_governed(_authority(spark, sf))[0]
+
+
+@query()
+def governed_conflicts(spark, sf):
+    return governance.record_conflicts(memory.fold_governed(_authority(spark, sf))[1])
+
+
+@query()
+def pending_conflicts(spark, sf):
+    ledger = governance.record_conflicts(memory.fold_governed(_authority(spark, sf))[1])
+    closed = ledger.where(F.col("row_a") % 2 == 0).select("workspace", "row_a", "row_b", F.col("row_b").alias("winner_id"))
+    return views.governance_conflicts(governance.pending(ledger, closed), access.visible(ad.memory_events(spark, sf), None, ALL)).select("workspace", "row_a", "row_b", "content_a", "content_b")
+
+
+@query(o.POLICIES)
+def policy_listing(spark, sf):
+    role, policy, _ = ad.writer_tables(spark)
+    return governance.policies(policy, role)
+
+
+# ---- compression
+
+
+@query(o.COMPRESS_ELIGIBLE)
+def compress_eligible(spark, sf):
+    return compress.eligible(ad.memory_conversations(spark, sf))
+
+
+@query(o.SENTENCE_SPLIT)
+def sentence_split(spark, sf):
+    return compress.sentence_rows(ad.memory_conversations(spark, sf)).groupBy("entity_key").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"))
+
+
+@query(o.CENTRALITY)
+def sentence_centrality(spark, sf):
+    return compress.centrality(compress.sentence_rows(ad.memory_conversations(spark, sf))).select("entity_key", F.col("idx").cast("long").alias("idx"), F.round("score", 6).alias("score"))
+
+
+@query(o.TOPK_SUMMARY)
+def compress_topk_summary(spark, sf):
+    return compress.compress(ad.memory_conversations(spark, sf), min_rows=1).select("entity_key", F.sha2("content", 256).alias("content_sha256"), "n_sentences")
+
+
+@query(o.LINEAGE)
+def summary_lineage(spark, sf):
+    picked = compress.top_sentences(compress.centrality(compress.sentence_rows(ad.memory_conversations(spark, sf))))
+    return compress.lineage(picked).select("entity_key", F.col("sentence_index").cast("long").alias("sentence_index"), "source_row_id")
+
+
+@query(o.ACL_INTERSECTION)
+def acl_intersection(spark, sf):
+    return compress.intersect_acls(ad.memory_conversations(spark, sf), ["entity_key"]).select("entity_key", F.array_join("allowed_principals", ",").alias("principals"))
+
+
+@query(o.INVALIDATION)
+def summary_invalidation(spark, sf):
+    rows = ad.memory_conversations(spark, sf)
+    lines = compress.lineage(compress.top_sentences(compress.centrality(compress.sentence_rows(rows)))).withColumn("summary_id", F.regexp_extract("entity_key", r"(\d+)$", 1).cast("long"))
+    summaries = lines.select(F.col("summary_id").alias("id")).distinct()
+    return compress.invalidated(summaries, lines, rows.where(F.col("id") % 7 == 0).select("id"))
+
+
+# ---- retrieval
+
+
+def _query_vector(spark: SparkSession, sf: str) -> list[float]:
+    return ad.table(spark, sf, "embeddings").where(F.col("vec_id") == 0).first()["embedding"]
+
+
+@query(o.VECTOR_TOPK)
+def vector_topk(spark, sf):
+    hits = retrieval.vector_arm(ad.table(spark, sf, "embeddings"), _query_vector(spark, sf), retrieval.arm_k(10), "vec_id")
+    return hits.select("id", F.round("distance", 5).alias("distance"))
+
+
+@query(o.FTS_MATCH)
+def fts_match(spark, sf):
+    d = ad.source_items(spark, sf).where(F.col("lang") == "en")
+    lex = d.select("seq", retrieval.ft.lexemes(F.col("text")).alias("lex"))
+    return lex.where(retrieval.ft.matches(F.col("lex"), retrieval.ft.query_lexemes("ti es"))).select("seq")
+
+
+@query(o.FTS_TOPK)
+def fts_rank_topk(spark, sf):
+    d = access.visible(ad.source_items(spark, sf).where(F.col("lang") == "en"), None, ALL)
+    return retrieval.fulltext_arm(d, "ing", 20, "seq", "text").select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(o.MEMORY_TOPK)
+def memory_fts_topk(spark, sf):
+    live = access.visible(_folded(spark, sf), None, ALL).where(F.col("superseded_by").isNull())
+    return retrieval.memory_arm(live, "purchase user", 20, ad.as_of()).select("id", F.round("rank", 6).alias("rank"), F.round("effective_confidence", 6).alias("effective_confidence"))
+
+
+@query(o.RRF)
+def rrf_hybrid(spark, sf):
+    docs = access.visible(ad.source_items(spark, sf), None, ALL).where(F.col("lang") == "en").withColumn("content_hash", F.col("seq").cast("string"))
+    vectors = ad.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("content_hash"), "embedding").join(docs.select("content_hash"), "content_hash", "left_semi")
+    live = access.visible(_folded(spark, sf), None, ALL).where(F.col("superseded_by").isNull())
+    hits = retrieval.search(docs, vectors, live, "ing", _query_vector(spark, sf), ad.as_of(), 20, ["purchase user"])
+    return hits.select("id", F.round("score", 6).alias("score"), F.array_join("arms", ",").alias("arms"))
+
+
+@query()
+def local_embed(spark, sf):
+    d = ad.source_items(spark, sf)
+    return d.select("seq", sc.embed_local(F.col("text")).alias("v")).select("seq", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+
+
+@query(o.EMBED_MD5)
+def local_embed_md5(spark, sf):
+    d = ad.memory_conversations(spark, sf).select("id", sc.embed_md5(F.col("content"), 16).alias("v"))
+    return d.select("id", F.posexplode("v").alias("pos", "x")).where(F.col("x") > 0).select("id", F.col("pos").cast("long").alias("bucket"), F.round("x", 6).alias("x"))
+
+
+# ---- concepts
+
+
+def _texts(spark, sf):
+    return ad.memory_conversations(spark, sf).select("workspace", F.col("content").alias("text"))
+
+
+@query(o.NGRAMS)
+def concept_ngrams(spark, sf):
+    c = ad.memory_conversations(spark, sf).select("id", tx.concepts(F.col("content")).alias("c"))
+    return c.select("id", F.size("c").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("c"), "|"), 256).alias("terms_sha256"))
+
+
+@query(o.TENANT_CONCEPTS)
+def tenant_concepts(spark, sf):
+    return federated.tenant_concepts(_texts(spark, sf))
+
+
+@query(o.GLOBAL_CONCEPTS)
+def global_concepts(spark, sf):
+    return federated.concepts(federated.tenant_concepts(_texts(spark, sf)))
+
+
+@query(o.TOP_CONCEPTS)
+def top_concepts(spark, sf):
+    return federated.top_concepts(federated.concepts(federated.tenant_concepts(_texts(spark, sf))))
+
+
+def _synonyms(spark, sf):
+    tenant = federated.tenant_concepts(_texts(spark, sf))
+    concept = federated.concepts(tenant)
+    return tenant, concept, federated.synonyms(tenant, concept)
+
+
+@query(o.SYNONYMS)
+def concept_synonyms(spark, sf):
+    return _synonyms(spark, sf)[2].select("concept_a", "concept_b", "cooccurrence_tenants", F.round("confidence", 6).alias("confidence"))
+
+
+@query(o.EXPANSION)
+def query_expansion(spark, sf):
+    asked = ad.memory_conversations(spark, sf).where(F.col("source_type") == "system").select(F.col("id").alias("query_id"), F.col("content").alias("query"))
+    return federated.expand(asked, _synonyms(spark, sf)[2], retrieval.EXPANSIONS)
+
+
+@query(o.AUDIT)
+def privacy_audit(spark, sf):
+    return federated.privacy_audit(*_synonyms(spark, sf), "ws1")
+
+
+@query(o.CONCEPTS_VIEW)
+def concepts_view(spark, sf):
+    return views.concepts_view(federated.tenant_concepts(_texts(spark, sf)), "ws2")
+
+
+# ---- identity
+
+
+def _aliases(spark, sf):
+    return ad.aliases(spark, sf).where(F.col("workspace").isin("0", "1", "2"))
+
+
+@query(o.ALIAS_SIMILARITY)
+def alias_norm_similarity(spark, sf):
+    s = ad.aliases(spark, sf).where(F.col("source") == "erp")
+    a, b = s.select("workspace", F.col("identity_id").alias("a"), F.col("external_id").alias("xa")), s.select("workspace", F.col("identity_id").alias("b"), F.col("external_id").alias("xb"))
+    return a.join(b, "workspace").where(F.col("a") < F.col("b")).select("a", "b", F.round(sc.similarity(F.col("xa"), F.col("xb")), 6).alias("similarity"))
+
+
+def _scored(spark, sf):
+    a = ad.aliases(spark, sf)
+    return identity.signals(identity.identity_pairs(a.where(F.col("source") == "erp")), a)
+
+
+@query(o.SIGNALS)
+def identity_signals(spark, sf):
+    s = _scored(spark, sf)
+    return s.select("a", "b", "exact_email", "exact_handle", F.round("handle_similarity", 6).alias("handle_similarity"), F.round("name_similarity", 6).alias("name_similarity"), "co_occurrence")
+
+
+@query(o.DECISIONS)
+def identity_decisions(spark, sf):
+    return identity.decide(_scored(spark, sf)).select("a", "b", F.round("combined", 6).alias("combined"), F.col("n_fired").cast("long").alias("n_fired"), "decision")
+
+
+@query(o.WINNER)
+def identity_winner(spark, sf):
+    a = ad.aliases(spark, sf)
+    return identity.winners(identity.identity_pairs(a.where(F.col("source") == "erp")), a).select("a", "b", "winner", "loser")
+
+
+@query(o.CLUSTER)
+def identity_cluster_edges(spark, sf):
+    return identity.cluster_edges(ad.aliases(spark, sf))
+
+
+@query(o.IDENTITIES_VISIBLE)
+def identities_visible(spark, sf):
+    rows = ad.memory_events(spark, sf)
+    people = rows.select("workspace", "entity_key").distinct()
+    return identity.visible_identities(people, rows, access.visible(rows, None, ["user:ali"]))
+
+
+@query(o.ALIAS_RATE)
+def alias_rate_limit(spark, sf):
+    e = ad.table(spark, sf, "events").select(F.col("event_id").alias("alias_id"), F.lit("ws").alias("workspace"), F.col("event_type").alias("source"), "ts", F.lit(0.9).alias("confidence"))
+    capped = identity.capped_confidence(identity.alias_rate(e))
+    return capped.select("alias_id", F.col("in_hour").cast("long").alias("in_hour"), "allowed", "confidence")
+
+
+@query()
+def identity_merge_chain(spark, sf):
+    a = ad.aliases(spark, sf).where(F.col("source") == "erp")
+    decided = identity.decide(identity.signals(identity.identity_pairs(a), a)).where(F.col("decision") != "none")
+    merges = identity.winners(decided.select("workspace", "a", "b"), a).select("winner", "loser")
+    return identity.canonical(a, merges)
+
+
+# ---- views
+
+
+@query(o.WORKSPACES)
+def workspaces_union(spark, sf):
+    return views.workspaces(ad.source_items(spark, sf), ad.memory_events(spark, sf))
+
+
+@query(o.PIPELINE_STATS)
+def pipeline_stats(spark, sf):
+    rows = _normalized(spark, sf)
+    acl = ingest.first_seen_acl(rows)
+    in_ws = lambda df: df.where(F.col("workspace") == "ws1")
+    return views.pipeline_stats(in_ws(rows), access.visible(acl, "ws1", ALL), ingest.new_chunks(rows), access.visible(ad.memory_events(spark, sf), "ws1", ALL))
+
+
+@query(o.HYDRATE)
+def hydrate_by_ids(spark, sf):
+    ids = spark.sql("SELECT * FROM VALUES (1L),(5L),(7L),(42L),(99L) AS t(seq)")
+    return ad.source_items(spark, sf).join(F.broadcast(ids), "seq").select("seq", "source", F.length("text").cast("long").alias("n_chars"))
