@@ -25,7 +25,7 @@ def read_dir(spark: SparkSession, path: str, workspace: str, principals: list[st
                 if os.path.islink(full) or not os.path.realpath(full).startswith(root + os.sep):
                     raise ValueError(f"{full} is a link or lies outside {root}")
         path = f"file://{root}"
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt,MD,TXT,Md,Txt}").text(path)
+    read = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt,MD,TXT,Md,Txt}").load(path)
     name = F.substring(F.col("_metadata.file_path"), F.length(F.lit(path.replace("file://", "file:"))) + 1, F.lit(1 << 20))
     listed = read.select(F.xxhash64("_metadata.file_path").alias("seq"), F.lit("local").alias("source"), F.regexp_replace(name, "^/+", "").alias("source_id"), F.lit(workspace).alias("workspace"), F.col("value").alias("text"), F.array(*map(F.lit, principals or [EVERYONE])).alias("allowed_principals"), F.col("_metadata.file_modification_time").alias("occurred_at"))
     return listed
