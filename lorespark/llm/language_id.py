@@ -143,12 +143,19 @@ def fit_ftrl(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]], epoch
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature that makes the labels likeliest, by golden-section search over its logarithm."""
+    """The temperature with the least loss, by golden-section search over its logarithm.
+
+    The true language's target is (n + 1) / (n + k), as if each had been seen once more with each document, so that a
+    sample without an error doesn't ask for certainty.
+    """
+    n, k = logits.shape
+    target = np.full((n, k), 1 / (n + k))
+    target[np.arange(n), labels] += n / (n + k)
 
     def loss(t: float) -> float:
         x = logits / np.exp(t)
         x = x - x.max(1, keepdims=True)
-        return float((np.log(np.exp(x).sum(1)) - x[np.arange(len(x)), labels]).mean())
+        return float(((np.log(np.exp(x).sum(1, keepdims=True)) - x) * target).sum(1).mean())
 
     a, b, r = np.log(0.02), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(60):
@@ -190,7 +197,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The rows of docs whose language is known with a score of at least `least`, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
