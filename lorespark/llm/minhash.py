@@ -7,7 +7,7 @@ their half keys agree: at s = 0.75 they miss with probability 2e-4, and at 0.85
 Texts with one set of shingles are one class and go on as its smallest doc_id. In each table a row links every class to
 the smallest one under its key, never class to class; the components of these links bound where true links can be.
 Within a component all classes are compared exactly, in blocks: a component of any size is cut into blocks of bounded
-weight in order of set size, a task takes a pair of blocks, and pairs of blocks whose sizes rule a link out are left
+weight by classes of set size, a task takes a pair of blocks, and pairs of blocks whose sizes rule a link out are left
 out. Small components share tasks. A task returns the spanning forest of its links; the components of these are the result.
 
 Words are [^\x20\x09-\x0D]+ after A-Z is lower-cased. A set holds the distinct runs of five words; with fewer, the whole
@@ -35,6 +35,8 @@ WORDS, PERCENT = 5, 75
 HALVES, WIDTH = 14, 2
 #: What a block may weigh: a document weighs its shingles and DOC_WEIGHT.
 BLOCK_WEIGHT, DOC_WEIGHT = 1_200_000, 2_000
+#: Sets in one class of sizes differ by less than this factor.
+SIZE_STEP = 1.15
 #: A shingle in more documents of a block than this is counted by matrices, others pair by pair.
 DENSE_FROM, DENSE_COLUMNS = 16, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -169,14 +171,18 @@ def exact_links(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], p
 
 def _work(members: DataFrame) -> DataFrame:
     """node, component, block and the tasks it is needed in: g1, g2, g3."""
-    cumulated = F.sum(F.col("n_shingles") + DOC_WEIGHT).over(Window.partitionBy("component").orderBy("n_shingles", "node").rowsBetween(Window.unboundedPreceding, 0))
-    placed = common.materialize(members.withColumn("block", F.floor((cumulated - 1) / F.lit(BLOCK_WEIGHT)).cast("int")), "minhash-blocks")
+    sized = members.withColumn("class", F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(SIZE_STEP))).cast("int"))
+    whole = sized.groupBy("component").agg((F.sum(F.col("n_shingles") + DOC_WEIGHT) <= BLOCK_WEIGHT).alias("small"))
+    # A class of sizes is cut by hash into as many blocks as it weighs; block numbers rise with the class.
+    parts = sized.groupBy("component", "class").agg(F.ceil(F.sum(F.col("n_shingles") + DOC_WEIGHT) / F.lit(BLOCK_WEIGHT)).alias("parts"))
+    number = F.when(F.col("small"), F.lit(0).cast("long")).otherwise(F.col("class").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = common.materialize(sized.join(whole, "component").join(parts, ["component", "class"]).select("node", "component", "n_shingles", "small", number.alias("block")), "minhash-blocks")
     weight = placed.agg(F.sum(F.col("n_shingles") + DOC_WEIGHT)).first()[0] or 0
     bins = max(1, -(-int(weight) // BLOCK_WEIGHT))
-    blocks = placed.groupBy("component", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    blocks = blocks.withColumn("last", F.max("block").over(Window.partitionBy("component")))
-    alone = blocks.where(F.col("last") == 0).select("component", "block", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("g1"), F.lit(-1).alias("g2"), F.lit(-1).alias("g3"))
-    more = blocks.where(F.col("last") > 0)
+    blocks = placed.groupBy("component", "block", "small").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    none = F.lit(-1).cast("long")
+    alone = blocks.where("small").select("component", "block", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("g1"), none.alias("g2"), none.alias("g3"))
+    more = blocks.where("NOT small")
     x, y = more.alias("x"), more.alias("y")
     pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.block") <= F.col("y.block")) & (100 * F.col("x.high") >= PERCENT * F.col("y.low")))
     both = pairs.select(F.col("x.component").alias("component"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
@@ -195,7 +201,7 @@ def verified_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     def to_sets(ids: list, component: list, block: list, tasks: list, texts: list) -> dict:
         return {"node": ids, "component": component, "block": block, "tasks": tasks, "shingles": [shingle_set(x).tobytes() for x in texts]}
 
-    sets = common.map_text(joined, to_sets, "node long, component long, block int, tasks array<struct<g1:long,g2:int,g3:int>>, shingles binary", "node", "component", "block", "tasks", "text")
+    sets = common.map_text(joined, to_sets, "node long, component long, block long, tasks array<struct<g1:long,g2:long,g3:long>>, shingles binary", "node", "component", "block", "tasks", "text")
     dealt = sets.where(F.octet_length("shingles") > 0).select("node", "component", "block", "shingles", F.explode("tasks").alias("t")).select("node", "component", "block", "shingles", "t.*")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
