@@ -69,16 +69,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind a materialized table."""
-    spark, total = df.sparkSession, 0
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for f in df.inputFiles():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
-
-
 def checked_broadcast(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     """df, a materialized table, marked for broadcast if its counted rows fit BROADCAST_BYTES; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
