@@ -83,9 +83,12 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def labelled_sample(train: DataFrame, per_lang: int) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """lang, hash, features and counts of the documents of each language with the smallest hashes."""
     hashed = train.select("lang", "text", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    limits = hashed.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= per_lang).groupBy("lang").agg(F.max("h").alias("limit"))
-    chosen = hashed.join(limits, "lang").where(F.col("h") <= F.col("limit"))
+    # Hashes are uniform: a share of their range that should hold twice the sample and more of a language leaves few rows
+    # to be ranked, and the texts of all others stay where they are.
+    sizes = common.materialize(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-sizes")
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_lang + 200) / F.col("n"))
+    near = hashed.join(common.checked_broadcast(sizes, 128), "lang").where(F.col("h").cast("double") / F.lit(2.0**64) + 0.5 <= share)
+    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_lang)
 
     def features(langs: list, hashes: list, texts: list) -> dict:
         at, n = zip(*map(counts, texts)) if texts else ((), ())
