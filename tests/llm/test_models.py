@@ -1,6 +1,8 @@
 """Licence scan, language identification, pseudo-likelihood and the pipeline."""
 
 import random
+import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -115,6 +117,66 @@ def test_pseudo_likelihood_prefers_what_it_saw(spark, edge, empty):
     assert pl.pseudo_likelihood(empty).count() == 0
 
 
+def test_pseudo_likelihood_scores_each_word_in_its_window(spark):
+    # The reference works on the words themselves: counts of every context, the token left out, each falling back to a shorter one.
+    r = random.Random(5)
+    common_words = [f"c{k}" for k in range(95)]
+    rare = [f"rare{k}" for k in range(400)]
+    texts = [" ".join(common_words) for _ in range(12)] + [" ".join(r.choice(rare if r.random() < 0.5 else common_words) for _ in range(40)) for _ in range(120)]
+    texts += [texts[20], None]
+    words = [pl.split(x) for x in texts]
+    n = Counter(w for x in words for w in x)
+    top = sorted(n, key=lambda w: (-n[w], w))[:95]
+    first = pl.CLASSES - pl.BUCKETS
+    number = {w: k + 1 for k, w in enumerate(top)}
+    kind = lambda w: number.get(w) or first + zlib.crc32(w) % pl.BUCKETS
+    of_class, types = Counter(), Counter()
+    for w, k in n.items():
+        of_class[kind(w)] += k
+        types[kind(w)] += 1
+    levels = lambda x, i: [(x[i - 1],), (x[i - 1], x[i + 1]), (x[i - 2], x[i - 1], x[i + 1], x[i + 2])]
+    seen = Counter()
+    padded = [[b"", b"", *x, b"", b""] for x in words]
+    for x in padded:
+        for i in range(2, len(x) - 2):
+            for k, c in enumerate(levels(x, i)):
+                seen[k, c, kind(x[i])] += 1
+                seen[k, c, x[i]] += 1
+
+    def log(x, i):
+        w, c = x[i], kind(x[i])
+        if c < first:
+            return 0.0
+        p = (n[w] - 1 + pl.ALPHA) / (of_class[c] - 1 + pl.ALPHA * types[c])
+        for k, context in enumerate(levels(x, i)):
+            p = (seen[k, context, w] - 1 + pl.PRIOR * p) / (seen[k, context, c] - 1 + pl.PRIOR)
+        return np.log(p)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    classed = pl.classes(docs, top)
+    table = score_classes(classed, pl.fit(pl.triple_counts(classed)))
+    got = {y.doc_id: y.log_likelihood for y in pl.pseudo_likelihood(docs).collect()}
+    for k, x in enumerate(padded):
+        want = table[k] + sum(log(x, i) for i in range(2, len(x) - 2))
+        assert abs(got[k] - want) < 1e-3 * (1 + len(words[k])), k
+
+
+def score_classes(classed, table):
+    return {y.doc_id: float(table.reshape(-1)[pl.triples(bytes(y.classes))].sum(dtype=np.float64)) if y.classes else 0.0 for y in classed.collect()}
+
+
+def test_other_rare_words_of_the_same_bucket_score_otherwise(spark):
+    # Every neighbour keeps its class; only counts of words can tell the two texts apart.
+    by_bucket = {}
+    for k in range(3000):
+        by_bucket.setdefault(zlib.crc32(b"w%d" % k) % pl.BUCKETS, []).append(f"w{k}")
+    pairs = [(v[0], v[1]) for v in by_bucket.values()][:20]
+    frequent = " ".join(f"c{k}" for k in range(95))
+    rows = [(k, frequent) for k in range(9)] + [(20 + k, " ".join(a for a, _ in pairs)) for k in range(4)] + [(30, " ".join(b for _, b in pairs))]
+    got = {x.doc_id: x.mean_log_prob for x in pl.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20] > got[30] + 0.5
+
+
 def test_network_gives_probabilities_and_learns_the_counts():
     n = 6
     counts = np.zeros((n, n, n), np.int64)
