@@ -398,14 +398,14 @@ def _aliases(spark, sf):
 
 @query(o.ALIAS_SIMILARITY)
 def alias_norm_similarity(spark, sf):
-    s = ad.aliases(spark, sf).where(F.col("source") == "erp")
-    a, b = s.select("workspace", F.col("identity_id").alias("a"), F.col("external_id").alias("xa")), s.select("workspace", F.col("identity_id").alias("b"), F.col("external_id").alias("xb"))
-    return a.join(b, "workspace").where(F.col("a") < F.col("b")).select("a", "b", F.round(sc.similarity(F.col("xa"), F.col("xb")), 6).alias("similarity"))
+    s = ad.aliases(spark, sf)
+    xa, xb = (s.select(F.col("identity_id").alias(c), F.col("external_id").alias(f"x{c}")) for c in "ab")
+    return identity.identity_pairs(s).join(xa, "a").join(xb, "b").select("a", "b", F.round(sc.similarity(F.col("xa"), F.col("xb")), 6).alias("similarity"))
 
 
 def _scored(spark, sf):
     a = ad.aliases(spark, sf)
-    return identity.signals(identity.identity_pairs(a.where(F.col("source") == "erp")), a)
+    return identity.signals(identity.identity_pairs(a), a)
 
 
 @query(o.SIGNALS)
@@ -422,7 +422,7 @@ def identity_decisions(spark, sf):
 @query(o.WINNER)
 def identity_winner(spark, sf):
     a = ad.aliases(spark, sf)
-    return identity.winners(identity.identity_pairs(a.where(F.col("source") == "erp")), a).select("a", "b", "winner", "loser")
+    return identity.winners(identity.identity_pairs(a), a).select("a", "b", "winner", "loser")
 
 
 @query(o.CLUSTER)
@@ -446,7 +446,7 @@ def alias_rate_limit(spark, sf):
 
 @query()
 def identity_merge_chain(spark, sf):
-    a = ad.aliases(spark, sf).where(F.col("source") == "erp")
+    a = ad.aliases(spark, sf)
     decided = identity.decide(identity.signals(identity.identity_pairs(a), a)).where(F.col("decision") != "none")
     merges = identity.winners(decided.select("workspace", "a", "b"), a).select("winner", "loser")
     return identity.canonical(a, merges)
