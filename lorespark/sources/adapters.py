@@ -34,11 +34,11 @@ def structured_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items_with_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English items with key-shaped strings added to some."""
+    """The items with key-shaped strings added to some."""
     aws = F.when(F.col("seq") % 17 == 0, F.concat(F.lit(" key AKIA"), F.upper(F.substring(F.md5(F.col("source_id")), 1, 16)))).otherwise("")
     hub = F.when(F.col("seq") % 19 == 0, F.concat(F.lit(" token ghp_"), F.md5(F.col("source_id")), F.lit("abcd"))).otherwise("")
     ssn = F.when(F.col("seq") % 23 == 0, F.concat(F.lit(" id 123-45-"), F.lpad((F.col("seq") % 10000).cast("string"), 4, "0"))).otherwise("")
-    return source_items(spark, sf_dir).where(F.col("lang") == "en").withColumn("text", F.concat("text", aws, hub, ssn))
+    return source_items(spark, sf_dir).withColumn("text", F.concat("text", aws, hub, ssn))
 
 
 def memory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
