@@ -124,7 +124,7 @@ def scrub_all_pii(spark, sf):
 
 @query(o.CARD_LUHN)
 def card_luhn_count(spark, sf):
-    d = ad.source_items(spark, sf).where(F.col("lang") == "en")
+    d = ad.source_items(spark, sf)
     return d.select(F.size(sb.cards(F.col("text"))).alias("n")).agg(F.sum("n").alias("n_cards"))
 
 
@@ -296,14 +296,14 @@ def vector_topk(spark, sf):
 
 @query(o.FTS_MATCH)
 def fts_match(spark, sf):
-    d = ad.source_items(spark, sf).where(F.col("lang") == "en")
+    d = ad.source_items(spark, sf)
     lex = d.select("seq", retrieval.ft.lexemes(F.col("text")).alias("lex"))
     return lex.where(retrieval.ft.matches(F.col("lex"), retrieval.ft.query_lexemes("ti es"))).select("seq")
 
 
 @query(o.FTS_TOPK)
 def fts_rank_topk(spark, sf):
-    d = access.visible(ad.source_items(spark, sf).where(F.col("lang") == "en"), None, ALL)
+    d = access.visible(ad.source_items(spark, sf), None, ALL)
     return retrieval.fulltext_arm(d, "ing", 20, "seq", "text").select("id", F.round("rank", 6).alias("rank"))
 
 
@@ -315,7 +315,7 @@ def memory_fts_topk(spark, sf):
 
 @query(o.RRF)
 def rrf_hybrid(spark, sf):
-    docs = access.visible(ad.source_items(spark, sf), None, ALL).where(F.col("lang") == "en").withColumn("content_hash", F.col("seq").cast("string"))
+    docs = access.visible(ad.source_items(spark, sf), None, ALL).withColumn("content_hash", F.col("seq").cast("string"))
     vectors = ad.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("content_hash"), "embedding").join(docs.select("content_hash"), "content_hash", "left_semi")
     live = access.visible(_folded(spark, sf), None, ALL).where(F.col("superseded_by").isNull())
     hits = retrieval.search(docs, vectors, live, "ing", _query_vector(spark, sf), ad.as_of(), 20, ["purchase user"])
