@@ -375,7 +375,7 @@ def concept_synonyms(spark, sf):
 
 @query(o.EXPANSION)
 def query_expansion(spark, sf):
-    asked = ad.memory_conversations(spark, sf).where(F.col("source_type") == "system").select(F.col("id").alias("query_id"), F.col("content").alias("query"))
+    asked = ad.memory_conversations(spark, sf).select(F.col("id").alias("query_id"), F.col("content").alias("query"))
     return federated.expand(asked, _synonyms(spark, sf)[2], retrieval.EXPANSIONS)
 
 
