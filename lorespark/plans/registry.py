@@ -32,9 +32,8 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _normalized(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document as one chunk, which is what it is without headings and blank lines."""
-    items = ad.source_items(spark, sf)
-    return items.withColumns({"content_hash": tx.content_hash(F.col("text")), "chunk": F.col("text"), "chunk_index": F.lit(0)})
+    """The chunks of each document."""
+    return ingest.chunk_rows(ad.source_items(spark, sf))
 
 
 def _folded(spark: SparkSession, sf: str) -> DataFrame:
