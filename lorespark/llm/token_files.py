@@ -16,8 +16,9 @@ ignored. Files are reached through pyarrow's file systems: file, hdfs, s3, gs, a
 from __future__ import annotations
 
 import io
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,37 @@ GAMMA, LEVELS = 2.0, 24
 _U64 = (1 << 64) - 1
 
 
-class PieceEncoder:
-    """Ids by the library, remembering those of each piece of text."""
+#: The longest unit that is remembered, and how many are given to the library as one text.
+UNIT_CHARS, JOINED = 48, 128
+#: What stands for a space at the head of a byte-level token.
+_SPACE_SYMBOL = chr(0x120)
+_UNIT = re.compile(f"(?= [^\\s{chr(0x180E)}{chr(0x200B)}{chr(0xFEFF)}])")
+_ODD = re.compile(f" (?:[\\s{chr(0x180E)}{chr(0x200B)}{chr(0xFEFF)}]|\\Z)")
+
+
+def units(text: str) -> list[str]:
+    """Keys of the units of a text: what follows the space; the first, which has none, with a space before it."""
+    found = [x[1:] if k else x for k, x in enumerate(_UNIT.split(text))] if _ODD.search(text) else text.split(" ")
+    found[0] = " " + found[0]
+    return found
+
+
+class UnitEncoder:
+    """Ids by the library, remembering those of each unit of text.
+
+    A unit begins at a space before a character that is no white space. In byte-level pre-splitting a piece begins at
+    every such space: no alternative of the pattern takes a space but as its first character or in a run of white space,
+    and a run of white space leaves its last space to what follows. So units are encoded one by one, and, since no piece but
+    one at such a space yields a token that begins with a space, the ids of many joined units are cut apart again there.
+    Units with white space inside may hold more such tokens; if the cuts are not as many as the units, each is encoded alone.
+    """
 
     def __init__(self, path: str, dtype: str):
         self.tok, spec, self.dtype = library(path), presplit.layout(path), dtype
-        self.family, self.splitter = spec["family"], spec["splitter"]
+        self.plain, self.splitter = spec["family"] == "byte", spec["splitter"]
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.opens[[i for s, i in vocab.items() if s.startswith(_SPACE_SYMBOL)]] = True
         self.known: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -50,20 +76,41 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split = [None if self.family is None or self.splitter is not None and self.splitter.search(x) else presplit.pieces(x, self.family) for x in texts]
-        new = list({w for x in split if x is not None for w in x if w not in self.known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self.known.update(zip(part, (self._pack(e.ids) for e in self.tok.encode_batch_fast(part, add_special_tokens=False))))
-        return [self._pack(self.tok.encode(t, add_special_tokens=False).ids) if x is None else b"".join(map(self.known.__getitem__, x)) for t, x in zip(texts, split)]
+        get = self.known.get
+        keys = [units(x) if self.plain and not (self.splitter is not None and self.splitter.search(x)) else None for x in texts]
+        found = [None if k is None else list(map(get, k)) for k in keys]
+        holes = [() if f is None else [i for i, x in enumerate(f) if x is None] for f in found]
+        new = self._learn({k[i] for k, h in zip(keys, holes) for i in h})
+        for k, f, h in zip(keys, found, holes):
+            for i in h:
+                f[i] = new[k[i]]
+        return [self._pack(self.tok.encode(t, add_special_tokens=False).ids) if f is None else b"".join(f) for t, f in zip(texts, found)]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        short = [u for u in new if u[0] != " " and len(u) <= UNIT_CHARS]
+        out, width = self._alone(new.difference(short)), np.dtype(self.dtype).itemsize
+        groups = [short[k : k + JOINED] for k in range(0, len(short), JOINED)]
+        for k in range(0, len(groups), 32):
+            part = groups[k : k + 32]
+            for group, e in zip(part, self.tok.encode_batch_fast([" " + " ".join(g) for g in part], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                cuts = (np.flatnonzero(self.opens[ids]) * width).tolist()
+                raw = ids.tobytes()
+                out |= zip(group, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]) if len(cuts) == len(group) else self._alone(group)
+        self.known.update((u, out[u]) for u in new if len(u) <= UNIT_CHARS)
+        return out
+
+    def _alone(self, keys: Iterable[str]) -> dict[str, bytes]:
+        keys = list(keys)
+        return {u: self._pack(e.ids) for u, e in zip(keys, self.tok.encode_batch_fast([u[1:] if u[0] == " " else " " + u for u in keys], add_special_tokens=False))}
 
 
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
+_encoders: dict[tuple[str, str], UnitEncoder] = {}
 
 
-def _encoder(path: str, dtype: str) -> PieceEncoder:
+def _encoder(path: str, dtype: str) -> UnitEncoder:
     if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = PieceEncoder(path, dtype)
+        _encoders[path, dtype] = UnitEncoder(path, dtype)
     return _encoders[path, dtype]
 
 
