@@ -1,12 +1,16 @@
 r"""Document fingerprints by winnowing, in built-in functions only.
 
-Units are runs of up to UNIT_CHARS characters that are no white space. The rolling hash of K units is the polynomial
-sum of unit hashes modulo a prime. Of every WINDOW neighbouring hashes the smallest is kept, the rightmost of equal
-ones, with its position; so two texts that share a run of K + WINDOW - 1 units share a fingerprint. A text of fewer units
-than K has the one hash of all its units; fewer hashes than WINDOW make one window.
+The rolling hash of K characters (code points, as they stand) is a polynomial modulo a prime, built by doubling: the hash
+of 2n characters is that of n times a power of the base, plus that of the next n. Of every WINDOW neighbouring hashes the
+smallest is kept, the rightmost of equal ones, with its position; so two texts that share K + WINDOW - 1 characters in a
+row, spaces or none between them, share a fingerprint. A text of fewer characters than K has the one hash of all of them;
+fewer hashes than WINDOW make one window.
 
-Null counts as empty; a text without units has an empty fingerprint, and two empty ones are alike. Rows that repeat a
-doc_id are taken in the order of their texts; a null doc_id comes first. Other columns are ignored.
+A window's minimum depends on its K + WINDOW - 1 characters alone. So the edited text keeps the minima of its untouched
+head, and only windows that reach past it are worked out anew.
+
+Null counts as empty; an empty text has an empty fingerprint, and two empty ones are alike. Rows that repeat a doc_id are
+taken in the order of their texts; a null doc_id comes first. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,38 +21,55 @@ from pyspark.sql.window import Window
 
 from lorespark.llm import ordered
 
-UNIT_CHARS, K, WINDOW = 8, 4, 8
+K, WINDOW = 16, 32
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
 _SHIFT = 1 << 31
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Adds name: array<long>, each hash * 2^31 + (2^31 - 1 - position), in the order of positions. window: a power of two."""
-    if window & window - 1 or window < 1:
-        raise ValueError("window must be a power of two")
-    u, h, v = f"_{name}_u", f"_{name}_h", f"_{name}_v"
-    df = df.withColumn(u, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(\S{{1,{UNIT_CHARS}}})"), F.lit(1)))
-    df = df.withColumn(h, F.concat(F.transform(u, lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 28))), F.array_repeat(F.lit(0).cast("long"), F.when(F.size(u) > 0, F.greatest(F.lit(k) - F.size(u), F.lit(0))).otherwise(0)))).drop(u)
-
-    def packed(i: Column) -> Column:
-        total = None
-        for j in range(k):
-            term = F.get(F.col(h), i + F.lit(j)) * F.lit(pow(BASE, k - 1 - j, PRIME)).cast("long")
-            total = term if total is None else total + term
-        return F.pmod(total, F.lit(PRIME).cast("long")) * F.lit(_SHIFT) + (F.lit(_SHIFT - 1) - i)
-
-    grams = F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), packed)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    df = df.withColumn(v, grams).drop(h)
-    least, step, now = v, 1, v
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def with_minima(df: DataFrame, text: str, name: str, k: int = K, window: int = WINDOW, start: Column | None = None) -> DataFrame:
+    """Adds name: array<long>, for each window its least hash * 2^31 + (2^31 - 1 - position). k, window: powers of two.
+
+    start: the position of the first character, where text is the rest of a longer one; past 0, a rest without a whole
+    window has none.
+    """
+    if any(x & x - 1 or x < 1 for x in (k, window)):
+        raise ValueError("k and window must be powers of two")
+    at, head = start if start is not None else F.lit(0), f"_{name}_"
+    none = lambda of: F.expr(f"cast(array() as array<{of}>)")
+
+    def doubled(now: str, by: str, step: int, f) -> None:
+        nonlocal df
+        width = F.greatest(F.size(now) - F.lit(step), F.lit(0))
+        df = df.withColumn(by, F.zip_with(F.slice(F.col(now), F.lit(1), width), F.slice(F.col(now), F.lit(step + 1), width), f))
+
+    chars = F.when(F.length(text) > 0, F.split(F.col(text), "")).otherwise(none("string"))
+    codes = F.transform(chars, lambda c: F.xxhash64(c).bitwiseAND(_long(PRIME - 1)))
+    short = F.when((F.length(text) > 0) & (at == 0), F.greatest(F.lit(k) - F.length(text), F.lit(0))).otherwise(0)
+    now, step = f"{head}h1", 1
+    df = df.withColumn(now, F.concat(codes, F.array_repeat(_long(0), short)))
+    while step < k:
+        power = _long(pow(BASE, step, PRIME))
+        doubled(now, f"{head}h{step * 2}", step, lambda a, b: (a * power + b) % _long(PRIME))
+        now, step = f"{head}h{step * 2}", step * 2
+    v = f"{head}v"
+    df = df.withColumn(v, F.transform(now, lambda x, i: x * _long(_SHIFT) + (_long(_SHIFT - 1) - i - at)))
+    now, step = v, 1
     while step < window:  # minima of 1, 2, 4, ... neighbours
-        now = f"_{name}_m{step * 2}"
-        width = F.greatest(F.size(least) - F.lit(step), F.lit(0))
-        df = df.withColumn(now, F.zip_with(F.slice(F.col(least), F.lit(1), width), F.slice(F.col(least), F.lit(step + 1), width), lambda a, b: F.least(a, b)))
-        least, step = now, step * 2
-    few = F.when(F.size(v) > 0, F.array(F.array_min(v))).otherwise(F.col(v))
-    df = df.withColumn(name, F.when(F.size(v) >= window, F.array_distinct(now)).otherwise(few))
-    return df.drop(*(c for c in df.columns if c.startswith(f"_{name}_")))
+        doubled(now, f"{head}m{step * 2}", step, lambda a, b: F.least(a, b))
+        now, step = f"{head}m{step * 2}", step * 2
+    few = F.when((F.size(v) > 0) & (at == 0), F.array(F.array_min(v))).otherwise(none("bigint"))
+    df = df.withColumn(name, F.when(F.size(v) >= window, F.col(now)).otherwise(few))
+    return df.drop(*(c for c in df.columns if c.startswith(head)))
+
+
+def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, window: int = WINDOW) -> DataFrame:
+    """Adds name: the distinct minima of a text, in the order of positions."""
+    return with_minima(df, text, f"{name}_all", k, window).withColumn(name, F.array_distinct(f"{name}_all")).drop(f"{name}_all")
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -86,21 +107,27 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Per row: doc_id, n_chars, the edited text's fingerprint beside the text's own, and their likeness.
+    """Per row: doc_id, n_chars, the text's fingerprint and the edited text's, their likeness and that to the next text's.
 
     The edited text has the last quarter of the code points replaced by the first as many of the next document by
     doc_id; after the last comes the first.
     """
-    own = with_fingerprint(neighbours(docs), "text", "fp", k, window)
     order = Window.partitionBy("bucket").orderBy("ord", "ghost", "text")
-    led = own.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order)).where(~F.col("ghost"))
+    led = neighbours(docs).withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
+    own = with_minima(led, "text", "all", k, window).withColumn("fp", F.array_distinct("all"))
     n = F.length("text")
-    cut = F.floor(n / 4).cast("int")
-    edited = led.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"))
-    both = with_fingerprint(edited, "edited", "efp", k, window)
+    kept = n - F.floor(n / 4).cast("int")
+    # Windows whose characters all lie in the kept part: their minima are the text's own.
+    same = F.greatest(kept - F.lit(k + window - 2), F.lit(0))
+    edited = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), F.substring("next_text", F.lit(1), n - kept)))
+    edited = edited.withColumn("same", same).withColumn("rest", F.substring("edited", F.col("same") + 1, F.length("edited")))
+    both = with_minima(edited, "rest", "rest_all", k, window, F.col("same"))
+    both = both.withColumn("efp", F.array_distinct(F.concat(F.slice("all", F.lit(1), F.col("same")), "rest_all")))
+    both = both.select("bucket", "ord", "ghost", "text", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp")
+    both = both.withColumn("next_fp", F.lead("fp").over(order)).where(~F.col("ghost"))
     sets = both.withColumns({"own_set": hashes(F.col("fp")), "edited_set": hashes(F.col("efp")), "next_set": hashes(F.col("next_fp"))})
     sets = sets.withColumns({f"_n_{x}": F.size(x) for x in ("own_set", "edited_set", "next_set")})
-    return sets.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp", likeness("own_set", "edited_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"))
+    return sets.select("doc_id", "n_chars", "edited_sha256", "fp", "efp", likeness("own_set", "edited_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from lorespark.llm import decontamination as dc
 from lorespark.llm import line_dedup as ld
@@ -173,38 +174,87 @@ def test_contamination_on_edge_rows(spark, edge, empty, benchmark, benchmark_row
     assert dc.contamination(empty, benchmark).count() == 0
 
 
+def brute_fingerprint(text, k=wn.K, window=wn.WINDOW):
+    """(hash, position) of each kept minimum, from the definition: one hash after another, one window after another."""
+    codes = [xxhash.xxh64_intdigest(c.encode(), seed=42) & (wn.PRIME - 1) for c in text]
+    if codes and len(codes) < k:
+        codes += [0] * (k - len(codes))
+    grams = []
+    for i in range(len(codes) - k + 1):
+        h = 0
+        for c in codes[i : i + k]:
+            h = (h * wn.BASE + c) % wn.PRIME
+        grams.append((h, i))
+    size = min(window, len(grams))
+    out = []
+    for s in range(len(grams) - size + 1 if grams else 0):
+        best = min(grams[s : s + size], key=lambda g: (g[0], -g[1]))
+        if best not in out[-1:]:
+            out.append(best)
+    return out
 
 
-def test_winnowing_on_edge_rows(edge, empty):
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in edge.select("doc_id", "text").collect()), key=lambda x: (x[0], x[1], x[2].encode()))
-    want = []
+def unpack(fp):
+    return [(x >> 31, (1 << 31) - 1 - (x & ((1 << 31) - 1))) for x in fp]
+
+
+def brute_likeness(a, b):
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def brute_winnowing(rows):
+    """rows: (doc_id, text) -> sorted doc_id, n_chars, digest of the edited text, both fingerprints, near_edited, near_next."""
+    rows = sorted(((i is not None, i or 0, t or "") for i, t in rows), key=lambda x: (x[0], x[1], x[2].encode()))
+    out = []
     for k, (known, i, t) in enumerate(rows):
-        n = len(t) // 4
-        want.append((str(i if known else None), len(t), hashlib.sha256((t[: len(t) - n] + rows[(k + 1) % len(rows)][2][:n]).encode()).hexdigest()))
-    got = wn.summary(wn.fingerprints(edge)).collect()
-    assert Counter((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == Counter(want)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    prints = {str(r.doc_id): r.fingerprint for r in got}
-    assert prints["5"] == prints["6"] == prints["7"] == "" and prints["8"] != prints["9"]
+        n, after = len(t) // 4, rows[(k + 1) % len(rows)][2]
+        edited = t[: len(t) - n] + after[:n]
+        own, new, nxt = (brute_fingerprint(x) for x in (t, edited, after))
+        form = lambda f: " ".join(f"{h:x}:{p}" for h, p in f)
+        out.append((str(i if known else None), len(t), hashlib.sha256(edited.encode()).hexdigest(), form(own), form(new), round(brute_likeness(own, new), 12), round(brute_likeness(own, nxt), 12)))
+    return sorted(out)
+
+
+def winnowed(df):
+    return sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 12), round(r.near_next, 12)) for r in wn.summary(wn.fingerprints(df)).collect())
+
+
+def test_winnowing_on_edge_rows(edge, empty):
+    rows = [(r.doc_id, r.text) for r in edge.select("doc_id", "text").collect()]
+    got = winnowed(edge)
+    assert got == brute_winnowing(rows)
+    prints = {r[0]: r[3] for r in got}
+    assert prints["5"] == prints["6"] == "" and prints["8"] != prints["9"]
     assert wn.summary(wn.fingerprints(empty)).count() == 0
 
 
-def test_winnowing_keeps_the_rightmost_minimum_and_its_guarantee(spark):
+def test_winnowing_of_edits_around_every_length(spark):
+    """Texts from none to a few windows, each before one that is empty, short or long."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("ab é漢😀") for _ in range(n))
+    sizes = [0, 1, 3, 4, 15, 16, 17, 46, 47, 48, 49, 60, 61, 62, 63, 64, 65, 66, 80, 100, 200, 400]
+    rows = [(k, text(n if k % 2 else r.choice([0, 2, 30, 300]))) for k, n in enumerate(x for n in sizes for x in (n, n))]
+    assert winnowed(spark.createDataFrame(rows, "doc_id long, text string")) == brute_winnowing(rows)
+
+
+def test_winnowing_guarantee_and_ties(spark):
     r = random.Random(6)
-    texts = ["a a a a a a a a a a a a a a", *(" ".join(r.choice("xyz") for _ in range(r.randint(1, 60))) for _ in range(40))]
-    rows = wn.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "fp").collect()
-    every = wn.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "fp", window=1).collect()
-    for row, all_ in zip(sorted(rows), sorted(every)):
-        packed = all_.fp
-        grams = [(x >> 31, (1 << 31) - 1 - (x & ((1 << 31) - 1))) for x in packed]
-        assert [p for _, p in grams] == list(range(len(grams)))
-        size = min(wn.WINDOW, len(grams))
-        want = []
-        for s in range(len(grams) - size + 1):
-            best = min(grams[s : s + size], key=lambda g: (g[0], -g[1])) if size else None
-            if best is not None and best not in want:
-                want.append(best)
-        assert [(x >> 31, (1 << 31) - 1 - (x & ((1 << 31) - 1))) for x in row.fp] == want
+    texts = ["a" * 90, *("".join(r.choice("xyz ") for _ in range(r.randint(1, 160))) for _ in range(40))]
+    got = [unpack(x.fp) for x in sorted(wn.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "fp").collect())]
+    assert got == [brute_fingerprint(t) for t in texts]
+    # A passage of K + WINDOW - 1 characters at any offset, without a space, shares a fingerprint with any other place of it.
+    least = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(wn.K + wn.WINDOW - 1))
+    held = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) + least + "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(25 - n)) for n in range(25)]
+    prints = [{h for h, _ in unpack(x.fp)} for x in wn.with_fingerprint(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), "text", "fp").collect()]
+    assert all(a & b for a in prints for b in prints)
+
+
+def test_winnowing_of_text_without_spaces(spark):
+    r = random.Random(12)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(2000))
+    a, b = (unpack(x.fp) for x in sorted(wn.with_fingerprint(spark.createDataFrame([(0, han), (1, "一" + han)], "doc_id long, text string"), "text", "fp").collect()))
+    assert brute_likeness(a, b) > 0.95
 
 
 def test_buckets_follow_the_order_of_keys(spark):
