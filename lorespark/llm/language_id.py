@@ -13,7 +13,6 @@ where there is nothing to learn from. Repeated rows get equal predictions; other
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,6 @@ SAMPLE_PER_LANG = 600
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Odd multipliers of the n-gram hash, by place.
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -114,7 +112,7 @@ class Model:
         return self.vector(at, n) @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or text is None or not _LETTER.search(text):
+        if not self.langs or text is None or not any(map(str.isalpha, text)):
             return UND, 0.0
         p = softmax(self.logits(*counts(text)) / self.temperature)
         k = int(np.argmax(p))
