@@ -74,6 +74,11 @@ def checked_broadcast(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII texts take the faster built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))

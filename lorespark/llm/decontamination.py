@@ -81,9 +81,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     candidates = common.materialize(placed.groupBy("doc", "version").agg(F.collect_set(F.struct("start", "size", "window")).alias("places")), "bench-candidates")
 
     again = _versioned(docs).join(common.checked_broadcast(candidates.select("doc", "version")), ["doc", "version"], "left_semi").dropDuplicates(["doc", "version"])
-    same = candidates.join(again, ["doc", "version"]).select("doc", "version", "places", words(F.col("text")).alias("w"))
-    exact = F.filter("places", lambda p: F.array_join(F.slice("w", p["start"] + 1, p["size"]), " ") == p["window"])
-    verified = common.materialize(same.select("doc", "version", exact.alias("places")).where(F.size("places") > 0), "bench-verified")
+    same = candidates.join(again, ["doc", "version"])
+    # The words are bound once for each document: a plain expression in the lambda would split the text for every place.
+    exact = common.let(words(F.col("text")), lambda w: F.filter("places", lambda p: F.array_join(F.slice(w, p["start"] + 1, p["size"]), " ") == p["window"]))
+    verified = common.materialize(same.select("doc", "version", exact.alias("places")), "bench-verified").where(F.size("places") > 0)
     hit = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["size"] - 1)))))
     held = verified.select("doc", "version", F.explode(F.array_distinct(F.transform("places", lambda p: p["window"]))).alias("window"))
     items = held.join(common.checked_broadcast(by_item.select("window", "item_id"), 256), "window").groupBy("doc", "version").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
