@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -46,9 +48,10 @@ def is_stale(confidence: Column, tier: Column, ts: Column, as_of: Column) -> Col
 
 def entity_kind(key: Column) -> Column:
     """The kind of an entity by the prefix of its key, for topics by what the rest holds."""
+    # Prefixes and topic words, in the order in which they are tried.
     k = F.lower(F.coalesce(key, F.lit("")))
-    prefix, rest = F.substring_index(k, ":", 1), F.when(F.instr(k, ":") > 0, F.expr("1")).otherwise(0)
-    after = F.when(rest == 1, F.substring(k, F.instr(k, ":") + 1, F.length(k))).otherwise(F.lit(""))
+    prefix = F.substring_index(k, ":", 1)
+    after = F.when(F.instr(k, ":") > 0, F.substring(k, F.instr(k, ":") + 1, F.length(k))).otherwise(F.lit(""))
     topic = lambda *words: (prefix == "topic") & after.rlike("|".join(words))
     return (
         F.when(prefix == "security", "security")
@@ -64,12 +67,20 @@ def entity_kind(key: Column) -> Column:
     )
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length of the lower-cased, stripped strings; 0 if either is empty."""
-    x, y = (strip(F.lower(F.coalesce(c, F.lit("")))) for c in (a, b))
+def comparable(c: Column) -> Column:
+    """The form in which names and handles are compared: lower-cased, stripped, empty for null."""
+    return strip(F.lower(F.coalesce(c, F.lit(""))))
+
+
+def closeness(x: Column, y: Column) -> Column:
+    """1 - edit distance / longer length of two strings in comparable form; 0 if either is empty."""
     return F.when((x == "") | (y == ""), F.lit(0.0)).otherwise(1.0 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
 
 
+def similarity(a: Column, b: Column) -> Column:
+    return closeness(comparable(a), comparable(b))
+
+
 def looks_like_email(c: Column) -> Column:
     return (F.instr(c, "@") > 0) & (F.instr(F.substring(c, F.instr(c, "@") + 1, F.length(c)), ".") > 0)
 
@@ -79,7 +90,8 @@ def local_part(c: Column) -> Column:
 
 
 def entity_slug(kind: Column, name: Column) -> Column:
-    slug = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "-"), "^-+|-+$", "")
+    """kind:slug, the slug of letters, digits and hyphens."""
+    slug = F.regexp_replace(F.regexp_replace(comparable(name), r"[^\p{L}\p{N}]", "-"), "^-+|-+$", "")
     return F.concat(kind, F.lit(":"), F.when(slug == "", "alias").otherwise(slug))
 
 
@@ -113,6 +125,32 @@ def embed_local(text: Column) -> Column:
     return F.pandas_udf(_embed_batch, "array<float>")(text)
 
 
+@dataclass(frozen=True)
+class Provider:
+    """What makes embeddings: a name, the dimension, and a column expression from text to array<float>."""
+
+    name: str
+    dimension: int
+    embed: Callable[[Column], Column]
+
+    @property
+    def model_name(self) -> str:
+        return f"{self.name}:dim{self.dimension}"
+
+
+PROVIDERS = {
+    "local": Provider("local", DIMENSION, embed_local),
+    "md5": Provider("md5", DIMENSION, lambda text: embed_md5(text, DIMENSION).cast("array<float>")),
+}
+
+
+def provider(name: str = "local") -> Provider:
+    """A registered provider; remote ones are added to PROVIDERS by who has a client for them."""
+    if name not in PROVIDERS:
+        raise ValueError(f"no embedding provider {name!r}; known: {sorted(PROVIDERS)}")
+    return PROVIDERS[name]
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays; 0 where either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions import scoring as sc
@@ -43,18 +43,20 @@ def with_authority(rows: DataFrame, role: DataFrame, policy: DataFrame, writer_r
     return out.withColumns({"authority": F.coalesce(F.col("_policy").cast("double"), F.col("_base").cast("double"), flat), "governed": governed}).drop("_role", "_policy", "_base")
 
 
-def record_conflicts(found: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Pending rows for pairs, smaller id first, that the ledger doesn't hold as pending."""
+def record_conflicts(found: DataFrame, ledger: DataFrame | None = None, detected_at: Column | None = None) -> DataFrame:
+    """Pending rows for pairs, smaller id first, that the ledger doesn't hold as pending, with when they were detected."""
     pairs = found.select("workspace", "entity_key", F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b"), F.when(F.col("row_a") < F.col("row_b"), F.col("authority_a")).otherwise(F.col("authority_b")).alias("authority_a"), F.when(F.col("row_a") < F.col("row_b"), F.col("authority_b")).otherwise(F.col("authority_a")).alias("authority_b")).dropDuplicates(["workspace", "row_a", "row_b"])
     if ledger is not None:
         pairs = pairs.join(ledger.where(F.col("status") == "pending"), ["workspace", "row_a", "row_b"], "left_anti")
-    return pairs.withColumn("status", F.lit("pending"))
+    at = F.lit(None).cast("timestamp") if detected_at is None else detected_at
+    return pairs.withColumns({"status": F.lit("pending"), "detected_at": at})
 
 
 def pending(ledger: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
-    """Conflicts that no resolution (workspace, row_a, row_b, winner_id) has closed."""
+    """Conflicts that no resolution (workspace, row_a, row_b, winner_id) has closed, the newest first, then by id."""
     open_ = ledger.where(F.col("status") == "pending")
-    return open_ if resolutions is None else open_.join(resolutions, ["workspace", "row_a", "row_b"], "left_anti")
+    left = open_ if resolutions is None else open_.join(resolutions, ["workspace", "row_a", "row_b"], "left_anti")
+    return left.orderBy(F.desc_nulls_last("detected_at"), F.desc("row_b"), F.desc("row_a"))
 
 
 def resolve(folded: DataFrame, resolutions: DataFrame) -> DataFrame:

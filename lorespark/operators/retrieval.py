@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lorespark.functions import fulltext as ft
 from lorespark.functions import scoring as sc
+from lorespark.operators import federated
 from lorespark.operators.access import clamp_k
 
 RRF_K = 60
@@ -68,6 +69,23 @@ def search(chunks: DataFrame, embeddings: DataFrame, live_memory: DataFrame, que
     return rrf([v, f, m]).orderBy(F.desc(F.round("score", 9)), "id").limit(clamp_k(k))
 
 
+def search_expanded(live: DataFrame, asked: DataFrame, synonym: DataFrame, as_of: Column, k: int = 10) -> DataFrame:
+    """The memory arm for one query (query_id, query), widened by the first EXPANSIONS terms that federated.expand gives.
+
+    A query's text and at most EXPANSIONS terms come to the driver: they become literals of the plan.
+    """
+    query = asked.first()
+    if query is None:
+        return memory_arm(live, "", k, as_of)
+    terms = sorted(r["term"] for r in federated.expand(asked, synonym, EXPANSIONS).collect())
+    return memory_arm(live, query["query"], k, as_of, terms)
+
+
+def references(hits: DataFrame, at: Column) -> DataFrame:
+    """id, ts of the memory rows among hits: what reading them adds to the log of references."""
+    return hits.where(F.col("id").startswith("mem:")).select(F.substring("id", 5, 20).cast("long").alias("id"), at.cast("timestamp").alias("ts"))
+
+
 def hydrate(hits: DataFrame, chunks: DataFrame, memory: DataFrame) -> DataFrame:
     """hits (MAX_K rows at most, so broadcast) with their texts."""
     texts = chunks.select(F.col("content_hash").alias("id"), "text").unionByName(memory.select(F.concat(F.lit("mem:"), F.col("id").cast("string")).alias("id"), F.col("content").alias("text")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,9 +35,37 @@ def recent_redactions(redactions: DataFrame, n: int = 50) -> DataFrame:
     return redactions.orderBy(F.desc("occurred_at"), "source_id", "kind").limit(n)
 
 
-def concepts_view(tenant: DataFrame, workspace: str, n: int = 30) -> DataFrame:
-    """The workspace's own most frequent concepts."""
-    return tenant.where(F.col("workspace") == workspace).orderBy(F.desc("local_count"), "name").limit(n)
+def redactions_since(redactions: DataFrame, since: Column) -> DataFrame:
+    """Totals by kind, source, source_id and workspace of what was redacted since then, the most first."""
+    totals = redactions.where(F.col("occurred_at") >= since).groupBy("kind", "source", "source_id", "workspace").agg(F.sum("count").alias("total"))
+    return totals.orderBy(F.desc("total"), "kind", "source", "source_id", "workspace")
+
+
+def concepts_view(concept: DataFrame, tenant: DataFrame, synonym: DataFrame, workspace: str, n: int = 30) -> DataFrame:
+    """part, name, other, count, weight: the n first concepts of all tenants, of the workspace itself, and synonyms."""
+    row = lambda part, name, other, count, weight: (F.lit(part).alias("part"), name.alias("name"), other.alias("other"), count.cast("long").alias("count"), weight.cast("double").alias("weight"))
+    none = F.lit(None).cast("string")
+    top = concept.orderBy(F.desc("tenant_count"), F.desc("global_count"), "name").limit(n).select(*row("global", F.col("name"), none, F.col("tenant_count"), F.col("global_count")))
+    own = tenant.where(F.col("workspace") == workspace).join(concept.select("name"), "name", "left_semi").orderBy(F.desc("local_count"), "name").limit(n).select(*row("local", F.col("name"), none, F.col("local_count"), F.lit(None)))
+    syn = synonym.orderBy(F.desc(F.round("confidence", 9)), F.desc("cooccurrence_tenants"), "concept_a", "concept_b").limit(n).select(*row("synonym", F.col("concept_a"), F.col("concept_b"), F.col("cooccurrence_tenants"), F.round("confidence", 6)))
+    return top.unionByName(own).unionByName(syn)
+
+
+def compression_view(summaries: DataFrame, lineage: DataFrame, sources: DataFrame) -> DataFrame:
+    """workspace, entity_key, sentence_index, sentence, source_row_id, source_content of the summaries that the caller sees.
+
+    summaries and sources hold only rows that the caller sees; a sentence whose source is hidden has a null content.
+    """
+    text = sources.select(F.col("id").alias("source_row_id"), F.col("content").alias("source_content"))
+    return lineage.join(summaries.select("workspace", "entity_key"), ["workspace", "entity_key"], "left_semi").join(text, "source_row_id", "left").select("workspace", "entity_key", "sentence_index", "sentence", "source_row_id", "source_content")
+
+
+def identity_detail(identities: DataFrame, seen: DataFrame, current: DataFrame) -> DataFrame:
+    """Each identity with the number of memory rows of its entity that the caller sees, how many are live, and the one to read."""
+    rows = seen.groupBy("workspace", "entity_key").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("superseded_by").isNull().cast("long")).alias("n_live"))
+    best = current.select("workspace", "entity_key", F.col("id").alias("current_id"))
+    out = identities.join(rows, ["workspace", "entity_key"], "left").join(best, ["workspace", "entity_key"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_rows", "n_live")})
 
 
 def as_json(df: DataFrame) -> DataFrame:

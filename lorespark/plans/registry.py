@@ -36,8 +36,12 @@ def _normalized(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.chunk_rows(ad.source_items(spark, sf))
 
 
+def _fold_of(rows: DataFrame) -> DataFrame:
+    return memory.fold_superseded(rows)
+
+
 def _folded(spark: SparkSession, sf: str) -> DataFrame:
-    return memory.fold_superseded(ad.memory_events(spark, sf))
+    return _fold_of(ad.memory_events(spark, sf))
 
 
 # ---- ingest
@@ -71,18 +75,23 @@ def raw_event_latest(spark, sf):
     return ingest.latest_events(items).select("source", "source_id", "workspace", "event_id")
 
 
+@query(o.INGEST_SCRUBBED)
+def ingest_stats_scrubbed(spark, sf):
+    return ingest.ingest(ad.items_with_secrets(spark, sf)).stats
+
+
 @query(o.DEDUP_GATE)
 def dedup_gate(spark, sf):
     return ingest.dedup_flags(_normalized(spark, sf)).groupBy("workspace").agg(F.sum(F.col("computed").cast("long")).alias("computed"), F.sum((~F.col("computed")).cast("long")).alias("reused"))
 
 
-@query()
+@query(o.CHUNK_PACK)
 def chunk_paragraph_pack(spark, sf):
     rows = ingest.chunk_rows(ad.structured_items(spark, sf))
-    return rows.select("seq", "chunk_index", "content_hash", F.length("chunk").alias("n_chars"))
+    return rows.select("seq", F.col("chunk_index").cast("long").alias("chunk_index"), "content_hash", F.length("chunk").cast("long").alias("n_chars"))
 
 
-@query()
+@query(o.INGEST_FULL)
 def ingest_full(spark, sf):
     got = ingest.ingest(ad.items_with_secrets(spark, sf))
     return got.acl.join(got.event_chunks, "content_hash").groupBy("workspace").agg(F.countDistinct("content_hash").alias("chunks"), F.count(F.lit(1)).alias("links"))
@@ -130,8 +139,13 @@ def card_luhn_count(spark, sf):
 @query(o.RECENT_REDACTIONS)
 def recent_redactions(spark, sf):
     done = sb.scrub(ad.items_with_secrets(spark, sf))
-    rows = done.select("source_id", "occurred_at", F.explode("redactions").alias("r")).select("source_id", "occurred_at", "r.kind", "r.count")
-    return views.recent_redactions(rows).select("source_id", "kind", F.col("count").cast("long").alias("n"))
+    return views.recent_redactions(sb.fired(done, "source_id", "occurred_at")).select("source_id", "kind", F.col("count").cast("long").alias("n"))
+
+
+@query(o.REDACTIONS_SINCE)
+def redactions_since(spark, sf):
+    rows = sb.fired(sb.scrub(ad.items_with_secrets(spark, sf)), "workspace", "source", "source_id", "occurred_at")
+    return views.redactions_since(rows, F.lit("2024-01-01 03:00:00").cast("timestamp"))
 
 
 # ---- memory
@@ -178,6 +192,38 @@ def recall_current(spark, sf):
     return memory.recall(_folded(spark, sf), ad.as_of()).select("workspace", "entity_key", "id", F.round("effective_confidence", 6).alias("effective_confidence"))
 
 
+@query(o.RECALL_READS)
+def recall_reinforced(spark, sf):
+    rows, folded = ad.memory_events(spark, sf), _folded(spark, sf)
+    _, reads = memory.recalled(folded, ad.as_of())
+    return memory.reinforce(rows, reads).groupBy("workspace", "tier").agg(F.sum((F.col("last_referenced_at") == ad.as_of()).cast("long")).alias("n_read"), F.sum("reference_count").alias("n_references"))
+
+
+@query(o.REMEMBER)
+def remember_receipts(spark, sf):
+    rows, late = ad.memory_events(spark, sf), F.col("created_at") >= F.lit(ad.LATE).cast("timestamp")
+    return memory.remember(rows.where(~late), rows.where(late))[1]
+
+
+@query(o.REMEMBERED)
+def remembered_log(spark, sf):
+    rows, late = ad.memory_events(spark, sf), F.col("created_at") >= F.lit(ad.LATE).cast("timestamp")
+    return memory.remember(_fold_of(rows.where(~late)), rows.where(late))[0].select("id", "superseded_by")
+
+
+@query(o.PROMOTE_ALL)
+def promote_all_log(spark, sf):
+    rows = ad.memory_events(spark, sf)
+    return memory.promote_all(rows, compress.eligible(rows), ad.as_of(), min_eff=0.3).groupBy("workspace", "entity_key", "from_tier", "to_tier").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+@query(o.AFTER_PROMOTION)
+def tiers_after_promotion(spark, sf):
+    rows = ad.memory_events(spark, sf)
+    log = memory.promote_all(rows, compress.eligible(rows), ad.as_of(), min_eff=0.3)
+    return memory.after_tier_changes(rows, log).groupBy("tier", "compressed").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(o.HISTORY)
 def memory_history(spark, sf):
     seen = access.visible(memory.history(_folded(spark, sf)), "ws1", ALL)
@@ -215,21 +261,40 @@ def authority_lookup(spark, sf):
     return _authority(spark, sf).select("workspace", "source_type", "source_id", "entity_kind", "authority", "governed").distinct()
 
 
-@query()
+def _governed(spark, sf):
+    return memory.fold_governed(_authority(spark, sf))
+
+
+@query(o.GOVERNED_FOLD)
 def governed_fold(spark, sf):
-    return memory.fold_governed(_authority(spark, sf))[0]
+    return memory.superseded(_governed(spark, sf))
 
 
-@query()
+def _ledger(spark, sf):
+    return governance.record_conflicts(memory.conflicts(_governed(spark, sf)), detected_at=ad.as_of())
+
+
+@query(o.GOVERNED_CONFLICTS)
 def governed_conflicts(spark, sf):
-    return governance.record_conflicts(memory.fold_governed(_authority(spark, sf))[1])
+    return _ledger(spark, sf).select("workspace", "entity_key", "row_a", "row_b", "authority_a", "authority_b", "status")
 
 
-@query()
+def _closed(ledger):
+    return ledger.where(F.col("row_a") % 2 == 0).select("workspace", "row_a", "row_b", F.col("row_b").alias("winner_id"))
+
+
+@query(o.PENDING_CONFLICTS)
 def pending_conflicts(spark, sf):
-    ledger = governance.record_conflicts(memory.fold_governed(_authority(spark, sf))[1])
-    closed = ledger.where(F.col("row_a") % 2 == 0).select("workspace", "row_a", "row_b", F.col("row_b").alias("winner_id"))
-    return views.governance_conflicts(governance.pending(ledger, closed), access.visible(ad.memory_events(spark, sf), None, ALL)).select("workspace", "row_a", "row_b", "content_a", "content_b")
+    ledger = _ledger(spark, sf)
+    return views.governance_conflicts(governance.pending(ledger, _closed(ledger)), access.visible(ad.memory_events(spark, sf), None, ALL)).select("workspace", "row_a", "row_b", "content_a", "content_b", F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss").alias("detected"))
+
+
+@query(o.RESOLVED)
+def resolved_fold(spark, sf):
+    found = _governed(spark, sf)
+    ledger = governance.record_conflicts(memory.conflicts(found))
+    folded = ad.memory_events(spark, sf).select("id").join(memory.superseded(found), "id", "left")
+    return governance.resolve(folded, _closed(ledger)).select("id", "superseded_by")
 
 
 @query(o.POLICIES)
@@ -280,6 +345,20 @@ def summary_invalidation(spark, sf):
     return compress.invalidated(summaries, lines, rows.where(F.col("id") % 7 == 0).select("id"))
 
 
+@query(o.SUMMARY_FACTS)
+def summary_facts(spark, sf):
+    return compress.compress(ad.memory_conversations(spark, sf), min_rows=1).select("entity_key", F.round("confidence", 6).alias("confidence"), "n_rows", F.round("ratio", 6).alias("ratio"))
+
+
+@query(o.COMPRESSION_VIEW)
+def compression_view(spark, sf):
+    rows = ad.memory_conversations(spark, sf)
+    lines = compress.lineage(compress.top_sentences(compress.centrality(compress.sentence_rows(rows))))
+    seen = access.visible(compress.intersect_acls(rows, ["workspace", "entity_key"]), None, ALL)
+    got = views.compression_view(seen, lines, access.visible(rows, None, ["group:exec"]))
+    return got.select("workspace", "entity_key", F.col("sentence_index").cast("long").alias("sentence_index"), F.sha2("sentence", 256).alias("sentence_sha256"), "source_row_id", F.length("source_content").cast("long").alias("source_chars"))
+
+
 # ---- retrieval
 
 
@@ -321,10 +400,32 @@ def rrf_hybrid(spark, sf):
     return hits.select("id", F.round("score", 6).alias("score"), F.array_join("arms", ",").alias("arms"))
 
 
+@query(o.SEARCH_INGESTED)
+def search_ingested(spark, sf):
+    """What ingest leaves, joined: contents that the caller may see in a workspace, by the distance of their embeddings."""
+    got = ingest.ingest(ad.items_with_secrets(spark, sf))
+    embedded = ingest.embed(got.to_embed, sc.provider("md5"))
+    asked = spark.sql(f"SELECT '{ad.QUESTION}' AS q").select(sc.provider("md5").embed(F.col("q")).alias("v")).first()["v"]
+    seen = access.visible(got.acl, "ws2", ALL).join(got.chunks, "content_hash").join(embedded, "content_hash")
+    hits = retrieval.vector_arm(seen, asked, retrieval.arm_k(10))
+    return hits.join(got.chunks.select(F.col("content_hash").alias("id"), F.length("text").cast("long").alias("n_chars")), "id").select("id", F.round("distance", 5).alias("distance"), "n_chars")
+
+
+@query(o.SEARCH_EXPANDED)
+def search_with_expansions(spark, sf):
+    """Memory hits for the most widespread concept, widened by what is used beside it elsewhere, and reinforced by being read."""
+    tenant, concept, synonym = _synonyms(spark, sf)
+    asked = concept.orderBy(F.desc("tenant_count"), F.desc("global_count"), "name").limit(1).select(F.lit(0).cast("long").alias("query_id"), F.col("name").alias("query"))
+    live = access.visible(ad.conversation_log(spark, sf), None, ALL)
+    found = retrieval.search_expanded(live, asked, synonym, ad.as_of(), 20)
+    read = memory.reinforce(live, retrieval.references(found, ad.as_of())).select(F.concat(F.lit("mem:"), F.col("id").cast("string")).alias("id"), "reference_count")
+    return found.join(read, "id").select("id", F.round("rank", 6).alias("rank"), "reference_count")
+
+
 @query()
 def local_embed(spark, sf):
-    d = ad.source_items(spark, sf)
-    return d.select("seq", sc.embed_local(F.col("text")).alias("v")).select("seq", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+    d = ad.source_items(spark, sf).select("seq", sc.provider("local").embed(F.col("text")).alias("v"))
+    return d.select("seq", F.posexplode("v").alias("pos", "x")).where(F.col("x") > 0).select("seq", F.col("pos").cast("long").alias("bucket"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 @query(o.EMBED_MD5)
@@ -340,6 +441,14 @@ def _texts(spark, sf):
     return ad.memory_conversations(spark, sf).select("workspace", F.col("content").alias("text"))
 
 
+@query(o.CHUNK_VOCABULARY)
+def chunk_vocabulary(spark, sf):
+    """The vocabulary of each workspace from the contents that ingest gave it, the frequent part of it."""
+    rows = _normalized(spark, sf)
+    texts = federated.vocabulary_texts(ingest.new_chunks(rows), ingest.first_seen_acl(rows))
+    return federated.tenant_concepts(texts, min_local=20)
+
+
 @query(o.NGRAMS)
 def concept_ngrams(spark, sf):
     c = ad.memory_conversations(spark, sf).select("id", tx.concepts(F.col("content")).alias("c"))
@@ -380,21 +489,19 @@ def query_expansion(spark, sf):
 
 @query(o.AUDIT)
 def privacy_audit(spark, sf):
-    return federated.privacy_audit(*_synonyms(spark, sf), "ws1")
+    audit = federated.privacy_audit(*_synonyms(spark, sf), "ws1")
+    return audit.withColumn("review_needed", F.array_join("review_needed", "|"))
 
 
 @query(o.CONCEPTS_VIEW)
 def concepts_view(spark, sf):
-    return views.concepts_view(federated.tenant_concepts(_texts(spark, sf)), "ws2")
+    tenant, concept, synonym = _synonyms(spark, sf)
+    return views.concepts_view(concept, tenant, synonym, "ws2")
 
 
 # ---- identity
 
 
-def _aliases(spark, sf):
-    return ad.aliases(spark, sf).where(F.col("workspace").isin("0", "1", "2"))
-
-
 @query(o.ALIAS_SIMILARITY)
 def alias_norm_similarity(spark, sf):
     s = ad.aliases(spark, sf)
@@ -436,21 +543,89 @@ def identities_visible(spark, sf):
     return identity.visible_identities(people, rows, access.visible(rows, None, ["user:ali"]))
 
 
-@query(o.ALIAS_RATE)
+@query(o.ALIAS_INTAKE)
 def alias_rate_limit(spark, sf):
-    e = ad.table(spark, sf, "events").select(F.col("event_id").alias("alias_id"), F.lit("ws").alias("workspace"), F.col("event_type").alias("source"), "ts", F.lit(0.9).alias("confidence"))
-    capped = identity.capped_confidence(identity.alias_rate(e))
-    return capped.select("alias_id", F.col("in_hour").cast("long").alias("in_hour"), "allowed", "confidence")
+    told = identity.intake(ad.alias_events(spark, sf))
+    return told.select("alias_id", "outcome", F.col("in_hour"), "prior", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query(o.ALIAS_TABLES)
+def alias_tables(spark, sf):
+    identities, aliases = identity.alias_tables(identity.intake(ad.alias_events(spark, sf)))
+    return aliases.join(identities.select("identity_id", "entity_key", "canonical_name"), "identity_id").select("identity_id", "entity_key", "canonical_name", "source", "external_id", "evidence_count")
+
+
+@query(o.ALIAS_SIGNALS)
+def alias_best_signals(spark, sf):
+    """Pairs of identities with several aliases each, their own names and the notes that name both."""
+    people, aliases = ad.people(spark, sf), ad.several_aliases(spark, sf)
+    together = identity.co_occurrences(aliases, ad.notes(spark, sf))
+    scored = identity.signals(identity.identity_pairs(people), aliases, together, people)
+    return scored.select("a", "b", "exact_email", "exact_handle", F.round("handle_similarity", 6).alias("handle_similarity"), F.round("name_similarity", 6).alias("name_similarity"), F.round("co_occurrence", 6).alias("co_occurrence"))
+
+
+def _decided_pairs(spark, sf):
+    return identity.decide(_scored(spark, sf))
+
+
+@query(o.MERGE_CHAIN)
 def identity_merge_chain(spark, sf):
     a = ad.aliases(spark, sf)
-    decided = identity.decide(identity.signals(identity.identity_pairs(a), a)).where(F.col("decision") != "none")
+    decided = _decided_pairs(spark, sf).where(F.col("decision") != "none")
     merges = identity.winners(decided.select("workspace", "a", "b"), a).select("winner", "loser")
     return identity.canonical(a, merges)
 
 
+def _proposals(spark, sf):
+    decided = _decided_pairs(spark, sf)
+    found = identity.proposals(decided, ad.denylist(decided), ad.as_of())
+    return found.select((F.col("a") * 1_000_000 + F.col("b")).alias("proposal_id"), "workspace", "a", "b", "combined", F.lit("pending").alias("status"))
+
+
+@query(o.PROPOSALS)
+def merge_proposals(spark, sf):
+    named = identity.list_proposals(_proposals(spark, sf), ad.people(spark, sf))
+    return named.select("proposal_id", "name_a", "name_b", F.round("combined", 6).alias("combined"))
+
+
+def _resolved(spark, sf):
+    """Every third proposal approved, every third rejected; the two merges with the largest loser reversed."""
+    pending = _proposals(spark, sf)
+    of = lambda k: pending.where((F.col("a") + F.col("b")) % 3 == k).select("proposal_id")
+    after, merges = identity.approve(pending, of(0), ad.aliases(spark, sf))
+    after, denied = identity.reject(after, of(1))
+    log = merges.withColumns({"log_id": F.col("winner") * 1_000_000 + F.col("loser"), "reversed_at": F.when(F.col("loser") % 5 == 0, ad.as_of())})
+    return after, denied, log
+
+
+@query(o.RESOLUTIONS)
+def proposals_resolved(spark, sf):
+    after, denied, log = _resolved(spark, sf)
+    counts = after.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return counts.union(denied.select(F.lit("denied").alias("status")).groupBy("status").agg(F.count(F.lit(1)))).union(log.select(F.lit("merged").alias("status")).groupBy("status").agg(F.count(F.lit(1))))
+
+
+@query(o.AFTER_MERGES)
+def identities_after_merges(spark, sf):
+    people, aliases, log = ad.people(spark, sf), ad.aliases(spark, sf), _resolved(spark, sf)[2]
+    memory_rows = people.select("workspace", "entity_key", F.col("identity_id").alias("id"))
+    kept, moved, pointed = identity.merged(people, aliases, memory_rows, log)
+    own = pointed.groupBy("workspace", "entity_key").agg(F.count(F.lit(1)).alias("n_rows"))
+    return identity.list_identities(kept, moved).join(own, ["workspace", "entity_key"], "left").select("identity_id", F.col("n_aliases").cast("long").alias("n_aliases"), "n_rows")
+
+
+@query(o.IDENTITY_LIST)
+def identity_list(spark, sf):
+    listed = identity.list_identities(ad.people(spark, sf), ad.several_aliases(spark, sf))
+    return listed.select("identity_id", "canonical_name", F.col("n_aliases").cast("long").alias("n_aliases"), F.array_join(F.transform("aliases", lambda x: F.concat(x["source"], F.lit(":"), x["external_id"])), ",").alias("aliases"))
+
+
+@query(o.HANDLES)
+def alias_handles(spark, sf):
+    a = ad.several_aliases(spark, sf)
+    return a.select("identity_id", "source", sc.looks_like_email(F.col("external_id")).alias("is_email"), sc.local_part(F.col("external_id")).alias("handle"), sc.entity_slug(F.lit("person"), F.col("display_name")).alias("entity_key"))
+
+
 # ---- views
 
 
@@ -459,15 +634,39 @@ def workspaces_union(spark, sf):
     return views.workspaces(ad.source_items(spark, sf), ad.memory_events(spark, sf))
 
 
+@query(o.WORKSPACES_ACL)
+def workspaces_of_content(spark, sf):
+    return views.workspaces(ingest.first_seen_acl(_normalized(spark, sf)), ad.memory_events(spark, sf))
+
+
+@query(o.IDENTITY_DETAIL)
+def identity_detail(spark, sf):
+    rows = _folded(spark, sf)
+    people = rows.select("workspace", "entity_key").distinct()
+    seen = access.visible(rows, None, ALL)
+    return views.identity_detail(identity.visible_identities(people, rows, seen), seen, memory.recall(seen, ad.as_of()))
+
+
+@query(o.JSON_ROWS)
+def entities_json(spark, sf):
+    return views.as_json(memory.entities(access.visible(_folded(spark, sf), None, ALL)).select("workspace", "entity_key", "n_rows"))
+
+
+@query(o.TOKENS)
+def authenticated_user(spark, sf):
+    return access.authenticate(ad.users(spark, sf), "token-7").select("email", "source_type")
+
+
 @query(o.PIPELINE_STATS)
 def pipeline_stats(spark, sf):
     rows = _normalized(spark, sf)
     acl = ingest.first_seen_acl(rows)
     in_ws = lambda df: df.where(F.col("workspace") == "ws1")
-    return views.pipeline_stats(in_ws(rows), access.visible(acl, "ws1", ALL), ingest.new_chunks(rows), access.visible(ad.memory_events(spark, sf), "ws1", ALL))
+    return views.pipeline_stats(in_ws(ad.source_items(spark, sf)), access.visible(acl, "ws1", ALL), ingest.new_chunks(rows), access.visible(ad.memory_events(spark, sf), "ws1", ALL))
 
 
 @query(o.HYDRATE)
 def hydrate_by_ids(spark, sf):
-    ids = spark.sql("SELECT * FROM VALUES (1L),(5L),(7L),(42L),(99L) AS t(seq)")
-    return ad.source_items(spark, sf).join(F.broadcast(ids), "seq").select("seq", "source", F.length("text").cast("long").alias("n_chars"))
+    ids = spark.sql("SELECT * FROM VALUES ('1'),('5'),('7'),('42'),('99'),('mem:3'),('mem:8') AS t(id)")
+    chunks = ad.source_items(spark, sf).select(F.col("source_id").alias("content_hash"), "text")
+    return retrieval.hydrate(ids, chunks, ad.memory_events(spark, sf)).select("id", F.length("text").cast("long").alias("n_chars"))

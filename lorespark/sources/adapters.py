@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 AS_OF = "2024-02-01 00:00:00"
 
 
+#: From when on memory rows count as new where a query remembers them; the question of the search over ingested contents.
+LATE = "2024-01-20 00:00:00"
+QUESTION = "ing und que les token"
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
@@ -85,6 +90,55 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(c, "c_custkey", "c_name", "c_nationkey", "crm", 0).unionByName(one(s, "s_suppkey", "s_name", "s_nationkey", "erp", 1))
 
 
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identities of aliases, with names and entity keys."""
+    a = aliases(spark, sf_dir)
+    return a.select("identity_id", "workspace", F.col("display_name").alias("canonical_name"), F.concat(F.lit("person:"), F.col("identity_id").cast("string")).alias("entity_key"), F.lit("person").alias("kind"))
+
+
+def several_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aliases of people: a handle for two in three, and an address for one in two, shared by neighbours."""
+    a, i = aliases(spark, sf_dir), F.col("identity_id")
+    handle = a.where(i % 3 != 0).withColumns({"source": F.lit("chat"), "external_id": F.concat(F.lit("@"), F.lower(F.replace("external_id", F.lit("#0000"), F.lit("."))))})
+    mail = a.where(i % 2 == 0).withColumns({"source": F.lit("mail"), "external_id": F.concat(F.lit("user"), F.floor(i / 8).cast("string"), F.lit("@corp.example")), "evidence_count": F.lit(1).cast("long")})
+    return a.withColumn("evidence_count", F.col("evidence_count").cast("long")).unionByName(handle.withColumn("evidence_count", F.col("evidence_count").cast("long"))).unionByName(mail)
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """workspace, text_id, text: a note for each order line whose customer and supplier are of one nation."""
+    t = lambda name: table(spark, sf_dir, name)
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    return lines.select(F.col("c_nationkey").cast("string").alias("workspace"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("text_id"), F.concat("c_name", F.lit(" asked "), F.upper("s_name"), F.lit("; order "), F.col("l_orderkey").cast("string")).alias("text"))
+
+
+def denylist(pairs: DataFrame) -> DataFrame:
+    """Denied pairs: some for ever, some until past, some until later."""
+    n = F.col("a") + F.col("b")
+    until = F.when(n % 2 == 0, F.lit("2024-01-31 00:00:00")).when(n % 3 == 0, F.lit("2024-03-01 00:00:00")).cast("timestamp")
+    return pairs.where(n % 7 < 3).select("workspace", F.col("a").alias("identity_a"), F.col("b").alias("identity_b"), until.alias("until"))
+
+
+def alias_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alias sightings from events, handed in once a day; ids recur, and most belong to one workspace."""
+    e, user = table(spark, sf_dir, "events"), F.col("user_id")
+    ext = F.concat(F.lit("u"), (user * 7 + F.col("event_id") % 7).cast("string"))
+    return e.select(
+        F.col("event_id").alias("alias_id"), F.when(user % 10 == 0, "ws1").otherwise("ws0").alias("workspace"), F.col("event_type").alias("source"), ext.alias("external_id"),
+        F.concat(F.lit("User "), user.cast("string")).alias("display_name"), F.lit(None).cast("string").alias("canonical_name"), F.lit(None).cast("string").alias("entity_key"), F.lit("person").alias("kind"), F.date_trunc("day", "ts").alias("ts"), F.lit(0.9).alias("confidence"),
+    )
+
+
+def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as memory that was written a day before the fixed clock."""
+    return memory_conversations(spark, sf_dir).withColumns({"reference_count": F.lit(0), "last_referenced_at": F.lit("2024-01-31 00:00:00").cast("timestamp")})
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user for each customer, known by the hash of a token."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@corp.example")).alias("email"), F.sha2(F.concat(F.lit("token-"), F.col("c_custkey").cast("string")), 256).alias("token_hash"), F.lit("human").alias("source_type"))
+
+
 def writer_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """role, authority_policy, writer_role: a small catalogue of fixed rows over the writers of memory_events."""
     role = spark.sql("SELECT * FROM VALUES (1L,'ws0','human','purchase',4.0F),(2L,'default','human','signup',3.0F),(3L,'ws1','human','lead',4.5F),(4L,'default','agent','view',1.5F),(5L,'ws2','system','monitor',2.0F) AS t(id,workspace,source_type,name,base_authority)")

@@ -39,10 +39,10 @@ def test_chunks_pack_paragraphs_within_sections(spark):
 def test_second_ingest_computes_nothing(spark):
     rows = items(spark, [("a", "w", "hello there", ["group:all"]), ("b", "w", "hello  there ", ["group:exec"]), ("c", "v", "other", [])])
     first = ingest.ingest(rows)
-    assert tuple(first.stats.first()) == (3, 3, 2, 1)
+    assert tuple(first.stats.first()) == (3, 3, 2, 1, 0)
     chunks, acl = first.chunks.cache(), first.acl.cache()
     again = ingest.ingest(rows, chunks, acl, first.events.cache())
-    assert tuple(again.stats.first()) == (3, 3, 0, 3) and again.chunks.count() == again.acl.count() == 0
+    assert tuple(again.stats.first()) == (3, 3, 0, 3, 0) and again.chunks.count() == again.acl.count() == 0
     assert {(r.workspace, tuple(r.allowed_principals)) for r in acl.collect()} == {("w", ("group:all",)), ("v", ("group:all",))}
 
 
@@ -139,7 +139,8 @@ def test_governed_fold_keeps_ties(spark):
         want |= o
         met |= m
     df = spark.createDataFrame(rows, "workspace string, entity_key string, id long, authority double, confidence double, governed boolean").repartition(5)
-    superseded, conflicts = memory.fold_governed(df)
+    found = memory.fold_governed(df).cache()
+    superseded, conflicts = memory.superseded(found), memory.conflicts(found)
     assert {x.id: x.superseded_by for x in superseded.collect()} == want
     ledger = governance.record_conflicts(conflicts)
     assert {(x.row_a, x.row_b) for x in ledger.collect()} == met
@@ -217,8 +218,134 @@ def test_merge_chains_and_their_reversal(spark):
     ids = spark.range(1, 7).withColumnRenamed("id", "identity_id")
     log = spark.createDataFrame([(1, 1, 2, None), (2, 2, 3, None), (3, 3, 4, None)], "log_id long, winner long, loser long, reversed_at timestamp")
     assert {r[0]: r[1] for r in identity.canonical(ids, log).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
-    undone = identity.reverse_merge(log, 2, F.lit("2024-01-01").cast("timestamp"))
+    undone, denied = identity.reverse_merge(log, 2, F.lit("2024-01-01").cast("timestamp"))
     assert {r[0]: r[1] for r in identity.canonical(ids, undone).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+    assert [(r.identity_a, r.identity_b, r.until) for r in denied.collect()] == [(2, 3, None)]
+    assert identity.reverse_merge(undone, 2, F.current_timestamp())[1].count() == 0
+
+
+def test_a_loser_of_two_winners_links_them(spark):
+    ids = spark.range(1, 9).withColumnRenamed("id", "identity_id")
+    log = spark.createDataFrame([(2, 5), (3, 5), (6, 7), (7, 6)], "winner long, loser long")
+    assert {r[0]: r[1] for r in identity.canonical(ids, log).collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 2, 6: 6, 7: 6, 8: 8}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 300)], "winner long, loser long")
+    assert {r[1] for r in identity.canonical(spark.range(1, 301).withColumnRenamed("id", "identity_id"), chain).collect()} == {1}
+
+
+def test_merges_move_aliases_and_memory_and_come_back(spark):
+    ids = spark.createDataFrame([(1, "w", "Ali", "person:ali", "person"), (2, "w", "A. Khan", "person:akhan", "person"), (3, "w", "Bo", "person:bo", "person")], "identity_id long, workspace string, canonical_name string, entity_key string, kind string")
+    aliases = spark.createDataFrame([(1, "mail", "ali@x.org"), (2, "mail", "ali@x.org"), (2, "chat", "@ali"), (3, "chat", "@bo")], "identity_id long, source string, external_id string")
+    rows = spark.createDataFrame([(10, "w", "person:ali"), (11, "w", "person:akhan"), (12, "v", "person:akhan")], "id long, workspace string, entity_key string")
+    log = spark.createDataFrame([(1, "w", 1, 2, None)], "log_id long, workspace string, winner long, loser long, reversed_at timestamp")
+    kept, moved, pointed = identity.merged(ids, aliases, rows, log)
+    assert {r.identity_id for r in kept.collect()} == {1, 3}
+    assert sorted(tuple(r) for r in moved.collect()) == [(1, "chat", "@ali"), (1, "mail", "ali@x.org"), (3, "chat", "@bo")]
+    assert {r.id: r.entity_key for r in pointed.collect()} == {10: "person:ali", 11: "person:ali", 12: "person:akhan"}
+    kept, moved, pointed = identity.merged(ids, aliases, rows, identity.reverse_merge(log, 1, F.current_timestamp())[0])
+    assert kept.count() == 3 and moved.count() == 4 and {r.id: r.entity_key for r in pointed.collect()}[11] == "person:akhan"
+
+
+def literal_intake(rows, per_hour=identity.RATE_PER_HOUR):
+    """rows: (alias_id, workspace, source, external_id, seconds, confidence), one after another by time and id."""
+    stored, out = {}, {}
+    for i, ws, src, ext, at, conf in sorted(rows, key=lambda r: (r[4], r[0])):
+        own = [t for (s, _), (w, t) in stored.items() if (s, w) == (src, ws)]
+        recent = sum(t > at - 3600 for t in own)
+        if (src, ext) in stored:
+            out[i] = ("bumped", recent, len(own), conf)
+        elif recent >= per_hour:
+            out[i] = ("refused", recent, len(own), conf)
+        else:
+            out[i] = ("stored", recent, len(own), min(conf, 0.7) if len(own) <= 1 else conf)
+            stored[src, ext] = (ws, at)
+    return out
+
+
+def test_alias_intake_is_limited_by_what_was_stored(spark):
+    schema = "alias_id long, workspace string, source string, external_id string, ts timestamp, confidence double"
+    burst = spark.createDataFrame([(k, "w", "s", f"x{k}", NOW, 0.9) for k in range(1000)], schema)
+    assert {r.outcome: r["count"] for r in identity.intake(burst).groupBy("outcome").count().collect()} == {"stored": 50, "refused": 950}
+    r = random.Random(5)
+    rows = [(k, r.choice("vw"), r.choice("st"), f"x{r.randrange(500)}", r.randrange(0, 4 * 3600, 30), 0.9) for k in range(1500)]
+    df = spark.createDataFrame(rows, "alias_id long, workspace string, source string, external_id string, s long, confidence double").withColumn("ts", F.timestamp_seconds("s")).drop("s").repartition(5)
+    got = {x.alias_id: (x.outcome, x.in_hour, x.prior, x.confidence) for x in identity.intake(df).collect()}
+    want = literal_intake(rows)
+    assert got == want and {"stored", "bumped", "refused"} == {x[0] for x in want.values()}
+
+
+def test_proposals_are_approved_rejected_or_denied(spark):
+    aliases = spark.createDataFrame([(k, "w", "s", f"x{k}", f"x{k}", 1) for k in range(1, 7)], "identity_id long, workspace string, source string, external_id string, display_name string, evidence_count long")
+    decided = spark.createDataFrame([("w", 1, 2, 0.8, "propose"), ("w", 3, 4, 0.9, "propose"), ("w", 5, 6, 0.2, "none"), ("w", 1, 3, 0.99, "auto")], "workspace string, a long, b long, combined double, decision string")
+    deny = spark.createDataFrame([("w", 1, 3, None), ("w", 1, 2, datetime(2023, 1, 1))], "workspace string, identity_a long, identity_b long, until timestamp")
+    found = identity.proposals(decided, deny, F.lit("2024-01-01").cast("timestamp"))
+    assert {(r.a, r.b) for r in found.collect()} == {(1, 2), (3, 4)}
+    pending = found.withColumns({"proposal_id": F.col("a"), "status": F.lit("pending")})
+    one = lambda k: spark.createDataFrame([(k,), (k,), (77,)], "proposal_id long")
+    after, merges = identity.approve(pending, one(1), aliases)
+    after, denied = identity.reject(after, one(3))
+    assert {r.proposal_id: r.status for r in after.collect()} == {1: "approved", 3: "rejected"}
+    assert [tuple(r) for r in merges.collect()] == [("w", 1, 2)] and [tuple(r) for r in denied.collect()] == [("w", 3, 4, None)]
+    assert identity.reject(after, one(1))[1].count() == 0  # no longer pending
+
+
+def test_identities_without_aliases_meet_by_name(spark):
+    ids = spark.createDataFrame([(1, "w", "Ali Khan"), (2, "w", "Ali Khan"), (3, "w", None)], "identity_id long, workspace string, canonical_name string")
+    aliases = spark.createDataFrame([(1, "w", "s", "zed", None, 4)], "identity_id long, workspace string, source string, external_id string, display_name string, evidence_count long")
+    got = {(r.a, r.b): r for r in identity.signals(identity.identity_pairs(ids), aliases, None, ids).collect()}
+    assert got[1, 2].name_similarity == 1.0 and got[1, 2].handle_similarity == 0.0 and got[1, 3].name_similarity == 0.0 and len(got) == 3
+
+
+def test_fold_over_blocks_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(memory, "BLOCK_BITS", 2)
+    r, rows, want = random.Random(21), [], {}
+    rank = {"human": 3.0, "system": 2.0, "agent": 1.0}
+    ids = iter(sorted(r.sample(range(4000), 900)))
+    for e in (0, 1, 2):
+        own = [(next(ids), r.choice(list(rank)), r.choice([0.1, 0.5, 0.9])) for _ in range(300)]
+        rows += [("w", f"e{e}", *x) for x in own]
+        want |= literal_fold([(i, rank[t], c) for i, t, c in own])
+    rows += [("w", "n", 5000, "human", None), ("w", "n", 5001, "human", float("nan")), ("w", "n", 5002, "human", 0.0), ("w", "n", 5003, "odd", 0.9)]
+    want |= {5000: 5001, 5001: 5002, 5003: 5002}  # null and NaN count as 0
+    df = spark.createDataFrame(rows, "workspace string, entity_key string, id long, source_type string, confidence float")
+    assert {x.id: x.superseded_by for x in memory.fold_superseded(df).collect() if x.superseded_by is not None} == want
+
+
+def test_governed_fold_of_nulls(spark):
+    rows = [("w", "e", 1, None, 0.9, True), ("w", "e", 2, 0.0, None, None), ("w", "e", 3, float("nan"), 0.5, False), ("w", "e", 4, 2.0, None, None)]
+    df = spark.createDataFrame(rows, "workspace string, entity_key string, id long, authority double, confidence double, governed boolean")
+    found = memory.fold_governed(df).cache()
+    assert {(x.row_a, x.row_b) for x in memory.conflicts(found).collect()} == {(1, 2), (1, 3)}
+    assert {x.id: x.superseded_by for x in memory.superseded(found).collect()} == {1: 4, 2: 4, 3: 4}
+
+
+def test_remembering_folds_only_what_it_touches(spark):
+    schema = "id long, workspace string, entity_key string, content string, source_type string, tier string, confidence double"
+    state = spark.createDataFrame([(1, "w", "a", "x", "agent", "semantic", 0.6), (2, "w", "a", "y", "human", "semantic", 0.9), (3, "w", "b", "z", "agent", "semantic", 0.5)], schema)
+    new = spark.createDataFrame([(4, "w", "a", "late", "agent", "semantic", 0.4), (5, "w", "c", "first", "agent", "semantic", 0.4), (6, "w", "b", "bad", "robot", "semantic", 0.4)], schema)
+    log, receipts = memory.remember(memory.fold_superseded(state), new)
+    assert {r.id: r.is_current for r in receipts.collect()} == {4: False, 5: True}
+    assert {r.id: r.superseded_by for r in log.collect()} == {1: 2, 2: None, 3: None, 4: 2, 5: None}
+
+
+def test_providers_have_a_model_name(spark):
+    assert sc.provider().model_name == "local:dim256"
+    with pytest.raises(ValueError):
+        sc.provider("remote")
+    rows = spark.createDataFrame([("h", "a b")], "content_hash string, text string")
+    got = ingest.embed(rows, sc.provider("md5")).first()
+    assert got.model_name == "md5:dim256" and len(got.embedding) == 256
+
+
+def test_local_embedding_buckets(spark):
+    """Against the definition: the 8-byte digest of a token, big-endian, modulo the dimension."""
+    import hashlib
+
+    got = spark.createDataFrame([("The cat, the CAT sat.",)], "x string").select(sc.embed_local(F.col("x"))).first()[0]
+    want = [0.0] * 256
+    for t in ("the", "cat", "the", "cat", "sat"):
+        want[int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") % 256] += 1
+    size = sum(x * x for x in want) ** 0.5
+    assert all(abs(a - b / size) < 1e-6 for a, b in zip(got, want))
 
 
 def test_fusion_by_rank(spark):
