@@ -71,6 +71,22 @@ def test_store_versions(spark, tmp_path):
     assert store.version("t") == 4 and store.read("t", 1).count() == 2
 
 
+def test_store_writes_only_the_buckets_it_touches(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}", buckets=8)
+    rows = lambda ks, v: spark.createDataFrame([(k, v) for k in ks], "k long, v string")
+    store.upsert("t", rows(range(200), "old"), ["k"])
+    store.upsert("t", rows([5], "new"), ["k"])
+    assert len(os.listdir(tmp_path / "t" / "v1")) > 8 and len([x for x in os.listdir(tmp_path / "t" / "v2") if x.startswith("_bucket")]) == 1
+    got = {r.k: r.v for r in store.read("t").collect()}
+    assert len(got) == 200 and got[5] == "new" and got[6] == "old"
+    store.insert_absent("t", rows([5, 1000], "third"), ["k"])
+    assert store.read("t").count() == 201 and {r.v for r in store.read("t").where("k in (5, 1000)").collect()} == {"new", "third"}
+    store.replace("p", spark.createDataFrame([("a", 1), ("b", 2)], "w string, n int"), ["w"])
+    store.replace_partition("p", spark.createDataFrame([("b", 3), ("b", 4)], "w string, n int"), "w", "b")
+    store.replace_partition("p", spark.createDataFrame([], "w string, n int"), "w", "a")
+    assert {tuple(r) for r in store.read("p").collect()} == {("b", 3), ("b", 4)} and store.read("p", 1).count() == 2
+
+
 def test_stream_ingests_each_content_once(spark, tmp_path):
     schema = files.ITEM
     rows = [(k, "s", str(k), "w", f"text {k % 3}", ["group:all"], datetime(2024, 1, 1)) for k in range(6)]
