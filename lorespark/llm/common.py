@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.sources.tables import delete_tree, materialize, new_path, release, shared_dir  # noqa: F401
+
 #: Rows in an Arrow batch: texts can be long, so batches are kept short.
 ARROW_ROWS = 256
 #: Most bytes a side may have to be broadcast; larger sides are shuffled.
@@ -19,9 +18,6 @@ BROADCAST_BYTES = 8 << 20
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_own_dirs: dict[str, str] = {}
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -32,43 +28,6 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    if there := spark.conf.get("spark.checkpoint.dir", None):
-        return there.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lorespark-")
-    return _own_dirs[app]
-
-
-def delete_tree(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        delete_tree(spark, path)
-    except Exception:  # the session may be gone by then
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete_at_exit, spark, path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checked_broadcast(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     """df, a materialized table, marked for broadcast if its counted rows fit BROADCAST_BYTES; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -22,6 +22,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         parent = common.materialize(ends.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("parent")), f"{name}-parents")
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
         twice = common.materialize(parent.join(up, "parent", "left").select("node", F.coalesce("top", "parent").alias("top")), f"{name}-tops")
+        last = labels
         if labels is None:
             labels = twice.select("node", F.col("top").alias("label"))
         else:
@@ -29,5 +30,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = common.materialize(labels, f"{name}-labels")
         first = between.join(twice.select(F.col("node").alias("a"), F.col("top").alias("ta")), "a")
         drawn = first.join(twice.select(F.col("node").alias("b"), F.col("top").alias("tb")), "b")
-        between = common.materialize(drawn.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where(F.col("a") != F.col("b")).distinct(), f"{name}-edges")
+        drawn = common.materialize(drawn.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where(F.col("a") != F.col("b")).distinct(), f"{name}-edges")
+        common.release(between, parent, twice, last)  # nothing reads a round's tables any more
+        between = drawn
+    common.release(between)
     return labels
