@@ -117,19 +117,33 @@ def test_pseudo_likelihood_prefers_what_it_saw(spark, edge, empty):
     assert pl.pseudo_likelihood(empty).count() == 0
 
 
-def test_pseudo_likelihood_scores_each_word_in_its_window(spark):
-    # The reference works on the words themselves: counts of every context, the token left out, each falling back to a shorter one.
+SMALL = pl.Layout(group=8, buckets=15)  # 48 frequent words
+
+
+def naive_class_log(net, window):
+    """log p(class) of one window, one number after another."""
+    p, g = net.p, net.group
+    left2, left, token, right, right2 = window
+    h = np.tanh(sum(p["embed"][k][c].astype(float) for k, c in enumerate((left2, left, right, right2))) + p["hidden"])
+    x = h @ p["out_group"] + p["bias_group"]
+    rows = slice(token // g * g, (token // g + 1) * g)
+    y = p["out"][rows] @ h + p["bias"][rows]
+    return x[token // g] - np.log(np.exp(x).sum()) + y[token % g] - np.log(np.exp(y).sum())
+
+
+def test_pseudo_likelihood_is_what_a_computation_by_hand_gives(spark):
+    # The reference works on the words themselves: the network's formula, and counts of every context with the token left
+    # out, each falling back to a shorter one.
     r = random.Random(5)
-    common_words = [f"c{k}" for k in range(95)]
+    common_words = [f"c{k}" for k in range(48)]
     rare = [f"rare{k}" for k in range(400)]
-    texts = [" ".join(common_words) for _ in range(12)] + [" ".join(r.choice(rare if r.random() < 0.5 else common_words) for _ in range(40)) for _ in range(120)]
-    texts += [texts[20], None]
+    texts = [" ".join(common_words) for _ in range(22)] + [" ".join(r.choice(rare if r.random() < 0.5 else common_words) for _ in range(40)) for _ in range(120)]
+    texts += [texts[30], None, "", "one"]
     words = [pl.split(x) for x in texts]
     n = Counter(w for x in words for w in x)
-    top = sorted(n, key=lambda w: (-n[w], w))[:95]
-    first = pl.CLASSES - pl.BUCKETS
+    top = sorted(n, key=lambda w: (-n[w], w))[:48]
     number = {w: k + 1 for k, w in enumerate(top)}
-    kind = lambda w: number.get(w) or first + zlib.crc32(w) % pl.BUCKETS
+    kind = lambda w: number.get(w) or SMALL.first + zlib.crc32(w) % SMALL.buckets
     of_class, types = Counter(), Counter()
     for w, k in n.items():
         of_class[kind(w)] += k
@@ -143,51 +157,71 @@ def test_pseudo_likelihood_scores_each_word_in_its_window(spark):
                 seen[k, c, kind(x[i])] += 1
                 seen[k, c, x[i]] += 1
 
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = pl.train(docs, SMALL)
+    assert model.words == top
+
     def log(x, i):
         w, c = x[i], kind(x[i])
-        if c < first:
-            return 0.0
+        at = [kind(x[i + d]) if x[i + d] else pl.BOUNDARY for d in (-2, -1, 0, 1, 2)]
+        found = naive_class_log(model.net, at)
+        if c < SMALL.first:
+            return found
         p = (n[w] - 1 + pl.ALPHA) / (of_class[c] - 1 + pl.ALPHA * types[c])
         for k, context in enumerate(levels(x, i)):
             p = (seen[k, context, w] - 1 + pl.PRIOR * p) / (seen[k, context, c] - 1 + pl.PRIOR)
-        return np.log(p)
+        return found + np.log(p)
 
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    classed = pl.classes(docs, top)
-    table = score_classes(classed, pl.fit(pl.triple_counts(classed)))
-    got = {y.doc_id: y.log_likelihood for y in pl.pseudo_likelihood(docs).collect()}
+    got = {y.doc_id: y for y in pl.pseudo_likelihood(docs, SMALL).collect()}
     for k, x in enumerate(padded):
-        want = table[k] + sum(log(x, i) for i in range(2, len(x) - 2))
-        assert abs(got[k] - want) < 1e-3 * (1 + len(words[k])), k
-
-
-def score_classes(classed, table):
-    return {y.doc_id: float(table.reshape(-1)[pl.triples(bytes(y.classes))].sum(dtype=np.float64)) if y.classes else 0.0 for y in classed.collect()}
+        want = sum(log(x, i) for i in range(2, len(x) - 2))
+        assert abs(got[k].log_likelihood - want) < 1e-3 * (1 + len(words[k])), k
+        assert got[k].n_tokens == len(words[k])
+    # A text that stands twice is surer of itself than the others of its kind.
+    assert got[30].mean_log_prob > max(got[k].mean_log_prob for k in range(40, 142)) + 0.5
 
 
 def test_other_rare_words_of_the_same_bucket_score_otherwise(spark):
     # Every neighbour keeps its class; only counts of words can tell the two texts apart.
     by_bucket = {}
     for k in range(3000):
-        by_bucket.setdefault(zlib.crc32(b"w%d" % k) % pl.BUCKETS, []).append(f"w{k}")
+        by_bucket.setdefault(zlib.crc32(b"w%d" % k) % SMALL.buckets, []).append(f"w{k}")
     pairs = [(v[0], v[1]) for v in by_bucket.values()][:20]
-    frequent = " ".join(f"c{k}" for k in range(95))
+    frequent = " ".join(f"c{k}" for k in range(48))
     rows = [(k, frequent) for k in range(9)] + [(20 + k, " ".join(a for a, _ in pairs)) for k in range(4)] + [(30, " ".join(b for _, b in pairs))]
-    got = {x.doc_id: x.mean_log_prob for x in pl.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x.doc_id: x.mean_log_prob for x in pl.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()}
     assert got[20] > got[30] + 0.5
 
 
-def test_network_gives_probabilities_and_learns_the_counts():
-    n = 6
-    counts = np.zeros((n, n, n), np.int64)
-    counts[1, 2, 3], counts[2, 3, 1] = 50, 30
-    table = pl.fit(counts, steps=200)
-    assert np.allclose(np.exp(table).sum(1), 1, atol=1e-4)
-    assert table[1, :, 3].argmax() == 2 and table[2, :, 1].argmax() == 3
-
-
-def test_triples_see_both_sides():
-    assert pl.triples(bytes([5, 7])).tolist() == [(0 * 128 + 5) * 128 + 7, (5 * 128 + 7) * 128]
+def test_network_gives_probabilities_and_follows_its_gradient():
+    r = np.random.default_rng(2)
+    net = pl.Network(SMALL, np.arange(64))
+    n = SMALL.classes
+    around = [np.repeat(r.integers(0, n, 1), n) for _ in range(4)]
+    assert abs(np.exp(net.logs(around, np.arange(n))).sum() - 1) < 1e-4
+    batch = r.integers(0, n, (50, 5))
+    for name, g in net.gradients(batch).items():
+        flat, at = net.p[name].reshape(-1), int(np.abs(g).argmax())
+        loss = []
+        for step in (1e-2, -2e-2):
+            flat[at] += step
+            loss.append(-net.logs([batch[:, k] for k in (0, 1, 3, 4)], batch[:, 2]).mean(dtype=np.float64))
+        flat[at] += 1e-2
+        assert abs((loss[0] - loss[1]) / 2e-2 - g.reshape(-1)[at]) < 2e-3, name
+
+
+def test_network_learns_what_both_sides_say():
+    sample = np.array([[1, 2, 30, 4, 5], [1, 2, 40, 4, 6], [9, 2, 30, 4, 6], [9, 2, 50, 4, 5]] * 400)
+    net = pl.Network(SMALL, np.ones(64)).train(sample, 60)
+    logs = net.logs([sample[:4, k] for k in (0, 1, 3, 4)], sample[:4, 2])
+    assert np.exp(logs).min() > 0.8
+
+
+def test_ties_and_samples_depend_on_nothing_but_the_rows(spark):
+    rows = [(k, f"b a d c e{k % 7} f") for k in range(40)]
+    one, two = (pl.train(spark.createDataFrame(x, "doc_id long, text string").repartition(n), SMALL) for x, n in ((rows, 1), (rows[::-1], 4)))
+    assert one.words == two.words and one.words[:5] == [b"a", b"b", b"c", b"d", b"f"]
+    assert all((one.net.p[k] == two.net.p[k]).all() for k in one.net.p)
 
 
 def test_pipeline_stages(spark, sf, edge, benchmark, monkeypatch):
