@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,9 +106,11 @@ def scan_text(text: str | None, notices: tuple[tuple[str, str, int], ...]) -> di
     found = (text or "").encode().translate(_TABLE).split()
     words = b" " + b" ".join(found) + b" "
     base = base_places(words)
-    at = [words.count(b" ", 0, p) for p, _ in base]
+    at = np.searchsorted(np.flatnonzero(np.frombuffer(words, np.uint8) == 32), [p for p, _ in base]).tolist()
     plain = words.decode()
     fuzzy = fuzzy_spans(plain, notices)
+    spaces = np.flatnonzero(np.frombuffer(plain.encode("utf-32-le"), "<u4") == 32) if fuzzy else np.zeros(0, np.int64)
+    before = lambda p: int(np.searchsorted(spaces, p)) - 1
     return {
         "n_words": len(found),
         "n_base": len(base),
@@ -116,7 +119,7 @@ def scan_text(text: str | None, notices: tuple[tuple[str, str, int], ...]) -> di
         "base_labels": ",".join(sorted({x for _, x in base})),
         "labels": ",".join(sorted({x for _, x in base} | {x[0] for x in fuzzy})),
         "score": 1.0 if base else max((x[4] for x in fuzzy), default=0.0),
-        "spans": [{"label": x, "first_word": plain.count(" ", 0, a) - 1, "last_word": plain.count(" ", 0, b) - 1, "edits": e} for x, a, b, e, _ in fuzzy],
+        "spans": [{"label": x, "first_word": before(a), "last_word": before(b), "edits": e} for x, a, b, e, _ in fuzzy],
     }
 
 
