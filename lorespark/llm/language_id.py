@@ -3,7 +3,7 @@
 Features are hashed counts of the 1- to 3-grams of the lower-cased text, as log(1 + count) * idf, scaled to length 1.
 Document frequencies cover every labelled document of the training fold. The weights are trained by
 follow-the-regularised-leader with L1 and L2 penalties on a bounded sample, SAMPLE_PER_LANG labelled documents of each
-language with the smallest hashes of doc_id; a fifth of these only set the temperature of the softmax. What comes to
+language with the smallest hashes of doc_id and text; a fifth of these only set the temperature of the softmax. What comes to
 the driver is bounded by the hashing dimension and the sample.
 
 Training takes documents with a lang whose crc32(doc_id as text) mod 5 is not 0 (a null doc_id counts as the empty
@@ -80,7 +80,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def labelled_sample(train: DataFrame, per_lang: int) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """lang, hash, features and counts of the documents of each language with the smallest hashes."""
-    hashed = train.select("lang", "text", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)).alias("h"))
+    hashed = train.select("lang", "text", F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text", F.lit(11)).alias("h"))
     # Hashes are uniform: a share of their range that should hold twice the sample and more of a language leaves few rows
     # to be ranked, and the texts of all others stay where they are.
     sizes = common.materialize(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-sizes")
