@@ -3,7 +3,8 @@
 Features are hashed counts of the 1- to 3-grams of the lower-cased text, as log(1 + count) * idf, scaled to length 1.
 Document frequencies cover every labelled document of the training fold. The weights are trained by
 follow-the-regularised-leader with L1 and L2 penalties on a bounded sample, SAMPLE_PER_LANG labelled documents of each
-language with the smallest hashes of doc_id and text; a fifth of these only set the temperature of the softmax. What comes to
+language with the smallest hashes of doc_id and text; a fifth of these only set the temperature of the softmax and
+the score under which a language counts as unknown. What comes to
 the driver is bounded by the hashing dimension and the sample.
 
 Training takes documents with a lang whose crc32(doc_id as text) mod 5 is not 0 (a null doc_id counts as the empty
@@ -103,6 +104,8 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
+    #: The least score with which keep_identified takes a language for known.
+    floor: float = 0.0
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         x = np.log1p(n) * self.idf[at]
@@ -165,6 +168,13 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def score_floor(logits: np.ndarray, labels: np.ndarray) -> float:
+    """Halfway between chance and the lowest winning score of a document that is predicted right, so none of these is rejected."""
+    p = np.array([softmax(x) for x in logits])
+    right = p.argmax(1) == labels
+    return float((1 / p.shape[1] + p.max(1)[right].min()) / 2) if right.any() else 0.0
+
+
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, epochs: int = EPOCHS) -> Model:
     known = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(known)
@@ -179,7 +189,9 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, epochs: int = EPOCHS
     fit_ftrl(model, [r for k, r in enumerate(rows) if k % 5 != 4], epochs)
     if test and len(model.langs) > 1:
         logits = np.array([rows[k][2] @ model.weights[rows[k][1]] + model.bias for k in test], np.float64)
-        model.temperature = fit_temperature(logits, np.array([rows[k][0] for k in test]))
+        labels = np.array([rows[k][0] for k in test])
+        model.temperature = fit_temperature(logits, labels)
+        model.floor = score_floor(logits / model.temperature, labels)
     return model
 
 
@@ -198,8 +210,9 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose language is known with a score of at least `least`, with all their columns."""
+def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
+    """The rows of docs whose language is known with a score of at least `least` (the model's floor), with all their columns."""
+    least = model.floor if least is None else least
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
 

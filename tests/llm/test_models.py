@@ -98,6 +98,46 @@ def test_language_of_edge_rows(edge, empty):
     assert kept.columns == edge.columns and kept.where("text is null").count() == 0
 
 
+def test_what_is_no_letter_has_no_language(spark, sf):
+    model = li.train(common.documents(spark, sf))
+    assert [model.predict(x)[0] for x in ("½ ² Ⅷ ① 12", "!!", "", None)] == [li.UND] * 4 and model.predict("x ½")[0] != li.UND
+
+
+def test_prediction_is_what_the_formula_gives(spark, sf):
+    """n-grams, weights and softmax one after another, in plain Python."""
+    model = li.train(common.documents(spark, sf))
+    for text in ("Ein kurzer Satz", "the end of it", "a", "漢字 é"):
+        c = [ord(x) for x in f" {text.lower()} "]
+        grams = Counter()
+        for n in (1, 2, 3):
+            for k in range(len(c) - n + 1):
+                total = sum(x * m for x, m in zip(c[k : k + n], li._MULTIPLIERS)) & 0xFFFFFFFF
+                grams[((total ^ (total >> 15)) * (0x2C1B3C6D + 2 * (n - 1)) & 0xFFFFFFFF) >> (32 - li.BITS)] += 1
+        x = {f: np.log1p(n) * float(model.idf[f]) for f, n in grams.items()}
+        size = np.sqrt(sum(v * v for v in x.values()))
+        logits = [float(model.bias[k]) + sum(v / size * float(model.weights[f, k]) for f, v in x.items()) for k in range(len(model.langs))]
+        p = np.exp(np.array(logits) / model.temperature)
+        p /= p.sum()
+        lang, score = model.predict(text)
+        assert lang == model.langs[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
+def test_rows_that_share_an_id_are_sampled_apart(spark):
+    rows = [(1, f"{'der die das ist' if k % 2 else 'the of and is'} w{k}", "de" if k % 2 else "en") for k in range(200)] + [(None, f"le la les est v{k}", "fr") for k in range(100)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r[0] for r in li.labelled_sample(known, 40))
+    assert got == {"de": 40, "en": 40, "fr": 40}
+
+
+def test_the_floor_rejects_no_calibration_document():
+    r = np.random.default_rng(4)
+    labels = r.integers(0, 4, 300)
+    logits = r.normal(0, 1, (300, 4)) + 3 * np.eye(4)[labels]
+    floor = li.score_floor(logits, labels)
+    best = np.array([li.softmax(x).max() for x in logits])[logits.argmax(1) == labels]
+    assert 0.25 < floor < best.min()
+
+
 def test_temperature_lowers_the_loss():
     r = np.random.default_rng(0)
     labels = r.integers(0, 3, 300)
