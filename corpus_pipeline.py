@@ -1,6 +1,7 @@
 """From raw documents to token ids: each stage is written as Parquet and read again by the next.
 
-  language_id      documents whose language isn't known, or with a score under 0.3, go
+  language_id      documents whose language isn't known, or with a score under the model's floor (set on labelled
+                   documents that the fit didn't use), go
   line_dedup       lines found in 10 or more documents go from the texts of all of them
   minhash          of near-duplicate documents the one with the smallest doc_id stays
   decontamination  documents that hold ten consecutive words of a benchmark item go
