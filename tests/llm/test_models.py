@@ -1,6 +1,9 @@
 """Licence scan, language identification, pseudo-likelihood and the pipeline."""
 
+import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter
 from itertools import product
@@ -13,6 +16,7 @@ from lorespark.llm import common
 from lorespark.llm import language_id as li
 from lorespark.llm import license_scan as ls
 from lorespark.llm import pseudo_likelihood as pl
+from test_duplicates import brute_components, brute_contamination, brute_lines, lower
 
 NOTICES = tuple(ls.NOTICES)
 
@@ -70,11 +74,30 @@ def test_base_places():
     assert (empty["n_words"], empty["first_word"], empty["labels"], empty["score"]) == (0, None, "", 0.0)
 
 
-def test_license_scan_on_edge_rows(edge, empty):
-    assert ls.summary(ls.scan(edge)).count() == edge.count()
+def brute_base(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+    places = [(i, label) for phrase, label in ls.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in places]
+    return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_counts_are_what_brute_force_gives(spark, sf, edge, empty):
+    extra = spark.createDataFrame([(900, "MIT license cc by cc by\ngnu general public license, apache  LICENSE. mit licence"), (901, "mit license " * 7)], "doc_id long, text string")
+    for docs in (edge, common.documents(spark, sf).select("doc_id", "text").union(extra)):
+        got = ls.summary(ls.scan(docs)).collect()
+        want = Counter((r.doc_id, *brute_base(r.text)) for r in docs.collect())
+        assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == want
+        assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
     assert ls.scan(empty).count() == 0
 
 
+def test_spans_count_words_in_texts_of_many_matches():
+    began = time.perf_counter()
+    got = ls.scan_text("été mit license foo " * 20_000, NOTICES)
+    assert got["n_base"] == 20_000 and (got["first_word"], got["last_word"]) == (1, 79_997)
+    assert [(x["first_word"], x["last_word"]) for x in got["spans"][:2]] == [(1, 3), (5, 7)] and time.perf_counter() - began < 60
+
+
 def test_language_is_learned(spark, sf):
     docs = common.documents(spark, sf)
     truth = {r.doc_id: r.lang for r in docs.collect()}
@@ -275,6 +298,32 @@ def test_pipeline_stages(spark, sf, edge, benchmark, monkeypatch):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, last.collect()))
 
 
+def test_pipeline_is_what_brute_force_gives(spark, sf):
+    """Each stage in plain Python over all rows, the language stage with the model that the stage learns."""
+    import public_tokenizers
+
+    from lorespark.llm.token_counts import library
+
+    docs = common.documents(spark, sf)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    model = li.train(docs)
+    known = [(i, t) for i, t in rows if (p := model.predict(t))[0] != li.UND and p[1] >= model.floor]
+    assert 0.9 * len(rows) < len(known)
+    lines = [(int(i), text) for i, _, _, text in brute_lines(known, 10)]
+    component, _ = brute_components(lines)
+    kept = [(i, t) for i, t in lines if component[i] == i]
+    items = [(r.item_id, r.text) for r in common.documents(spark, sf, "benchmark").collect()]
+    bad = {i for i, *_, hit in brute_contamination(kept, items) if hit}
+    clean = [(i, t) for i, t in kept if str(i) not in bad]
+    assert len(known) > len(kept) > len(clean) > 0
+    tok = library(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, t in clean:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("at", range(5))
 def test_pipeline_stages_take_edge_rows(spark, sf, edge, empty, at):
     stage = corpus_pipeline.STAGES[at][1]
