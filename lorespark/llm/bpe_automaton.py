@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import common, presplit
-from lorespark.llm.token_counts import REMEMBERED, library
+from lorespark.llm.token_counts import PIECE_CHARS, REMEMBERED, library
 
 #: Entries of the transition table that a worker remembers before it starts anew.
 TABLE_ENTRIES = 2_000_000
 START = -1
+#: Bits of an id in a key of the table.
+ID_BITS = 20
 
 
 def byte_symbols() -> list[str]:
@@ -46,6 +48,8 @@ class Automaton:
     """The compiled merges of one vocabulary. suffix: what the last symbol of a word carries."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
+        if max(vocab.values(), default=0) >= 1 << ID_BITS:
+            raise ValueError(f"ids of more than {ID_BITS} bits")
         self.suffix, self.labels = suffix, {i: s for s, i in vocab.items()}
         self.blocked: dict[tuple[int, int], int] = {}  # (state, arc) -> when gadget 1 took it out
         self.row_of: dict[int, tuple[int, int]] = {}  # state -> the state it was copied from, and when
@@ -80,7 +84,7 @@ class Automaton:
         """Whether the state has the arc once all gadgets are applied: copies are followed back in time."""
         if state == START:
             return True
-        key = state << 20 | arc
+        key = state << ID_BITS | arc
         found = self.table.get(key)
         if found is None:
             if len(self.table) > TABLE_ENTRIES:
@@ -154,7 +158,10 @@ class Codec:
         return array("I", ids).tobytes(), self.between.join(self.labels[i] for i in ids)
 
     def _word(self, mapped: str) -> tuple[bytes, str]:
-        return self._entry(self.machine.encode([*mapped[:-1], mapped[-1] + self.suffix] if self.suffix else list(mapped)))
+        symbols = [*mapped[:-1], mapped[-1] + self.suffix] if self.suffix else list(mapped)
+        if not self.machine.trie.keys() >= set(symbols):  # the automaton has no arc for what the vocabulary lacks
+            return self._entry([x.id for x in self.tok.model.tokenize(mapped)])
+        return self._entry(self.machine.encode(symbols))
 
     def _segment(self, text: str) -> list[tuple[bytes, str]]:
         words = presplit.pieces(text, self.family)
@@ -163,10 +170,15 @@ class Codec:
             if self.tok.normalizer is not None:
                 text = self.tok.normalizer.normalize_str(text)
             return [self._word(m) for m, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        out = []
         for w in words:
-            if w not in known:
-                known[w] = self._word(w.encode().decode("latin-1").translate(_TO_SYMBOL))
-        return [known[w] for w in words]
+            found = known.get(w)
+            if found is None:
+                found = self._word(w.encode().decode("latin-1").translate(_TO_SYMBOL))
+                if len(w) <= PIECE_CHARS:
+                    known[w] = found
+            out.append(found)
+        return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Little-endian unsigned 32-bit ids, and the decoded text of those ids."""

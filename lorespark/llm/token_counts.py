@@ -20,8 +20,8 @@ from lorespark.llm import common, presplit
 #: Documents over CHUNK_CHARS characters are huge: about one in twelve of web texts, which hold half of the characters.
 CHUNK_CHARS = 1 << 13
 OVERLAP_CHARS = 1 << 8
-#: Pieces remembered by a worker; past it the memory starts anew.
-REMEMBERED = 500_000
+#: Pieces remembered by a worker, past which the memory starts anew, and the longest one: together they bound its bytes.
+REMEMBERED, PIECE_CHARS = 500_000, 64
 
 _counters: dict[str, PieceCounter] = {}
 
@@ -73,11 +73,14 @@ class PieceCounter:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         split = [self._pieces(x or "") for x in texts]
-        new = list({w for x in split if isinstance(x, list) for w in x if w not in self.known})
+        new, known = list({w for x in split if isinstance(x, list) for w in x if w not in self.known}), self.known
+        long: dict[str, int] = {}
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
-            self.known.update(zip(part, (len(e.ids) for e in self.tok.encode_batch_fast(part, add_special_tokens=False))))
-        return [sum(map(self.known.__getitem__, x)) if isinstance(x, list) else x for x in split]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                (known if len(w) <= PIECE_CHARS else long)[w] = len(e.ids)
+        count = known.__getitem__ if not long else lambda w: long[w] if w in long else known[w]
+        return [sum(map(count, x)) if isinstance(x, list) else x for x in split]
 
     def _pieces(self, text: str) -> list[str] | int:
         if self.family is None:

@@ -77,6 +77,32 @@ def test_chains_and_groups_over_several_blocks(spark, monkeypatch):
     assert len(set(want.values())) < 15
 
 
+def test_pairs_just_over_the_threshold_are_found(spark):
+    """300 pairs of similarity 0.75 to 0.8: 100 shingles each, of which the last 11 to 14 differ."""
+    r = random.Random(31)
+    rows = []
+    for k in range(300):
+        words = [f"p{k}x{r.randrange(10**6)}" for _ in range(104)]
+        cut = 11 + k % 4
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-cut] + [f"q{k}y{j}" for j in range(cut)]))]
+    got = {x.doc_id: x.component_id for x in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = sum(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(300))
+    assert found >= 299 and len(set(got.values())) == 600 - found
+
+
+def test_unlike_documents_of_one_table_are_linked_apart(spark):
+    """Documents that share much, but not enough, with the smallest under their keys still meet each other."""
+    r = random.Random(17)
+    common_part = [f"s{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        own = [f"o{k}x{j}" for j in range(40)]
+        rows += [(10 * k, " ".join(common_part + own)), (10 * k + 1, " ".join(common_part + own[:-6] + [f"t{r.randrange(10**6)}" for _ in range(6)]))]
+    want, _ = brute_components(rows)
+    assert len(set(want.values())) == 60
+    assert {x.doc_id: x.component_id for x in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_exact_links_count_what_sets_share():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 50)).astype(np.uint64)) for _ in range(40)]

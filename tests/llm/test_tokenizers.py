@@ -1,5 +1,6 @@
 """Counting, encoding and files against the libraries themselves."""
 
+import json
 import random
 import zlib
 
@@ -77,6 +78,47 @@ def test_automaton_on_a_small_merge_list_equals_merging_by_hand():
         assert [machine.labels[i] for i in machine.encode(word)] == parts
 
 
+@pytest.mark.parametrize("unk", [None, "!"])
+def test_symbols_outside_the_vocabulary_are_left_to_the_library(tmp_path, unk):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    gone = set(ba._BYTES[0xC3]) | {"q"}  # the first byte of Latin letters, and a letter
+    held = lambda s: not gone & set(s.removesuffix("</w>"))
+    added = {x["content"] for x in spec["added_tokens"]}
+    pair = lambda x: x.split(" ") if isinstance(x, str) else x
+    spec["model"]["vocab"] = {s: i for s, i in spec["model"]["vocab"].items() if s in added or held(s)}
+    spec["model"]["merges"] = [x for x in spec["model"]["merges"] if all(map(held, pair(x)))]
+    spec["model"]["unk_token"] = unk
+    path = str(tmp_path / "less.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    codec = ba.Codec(path)
+    for text in ["quick", "the queen's été", "é", "q", "plain words", "aqua qq 漢 Qß", *(x for x in fuzz(200, 9) if "<" not in x)]:  # the library gives added tokens other ids here
+        assert np.frombuffer(codec.encode(text)[0], "<u4").tolist() == codec.tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_memories_hold_no_long_pieces(monkeypatch):
+    word, byte = (public_tokenizers.path(f) for f in FILES)
+    long = ["x" * 5000 + str(k) + " b" for k in range(5)] + ["y" * 300 + "\n" + "z" * 300]
+    counter, codec, encoder = tc.PieceCounter(word), ba.Codec(word), tf.UnitEncoder(byte, "<u2")
+    assert counter.count(long) == [len(counter.tok.encode(x, add_special_tokens=False).ids) for x in long]
+    assert all(codec.encode(x)[0] == np.array(codec.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in long)
+    assert encoder.encode(long) == [np.array(encoder.tok.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in long]
+    assert all(len(w) <= tc.PIECE_CHARS for m in (counter.known, codec.known, encoder.known) for w in m)
+    assert counter.known and codec.known and encoder.known
+
+
+def test_units_equal_the_library():
+    """Every kind of white space, in texts that are encoded together and apart."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = tf.UnitEncoder(path, "<u2")
+    parts = [*PARTS, " x", " \n", "\n ", "   ", chr(0x200B), chr(0xFEFF), chr(0x180E), chr(0x3000), "½", "😀", chr(0x120)]
+    r = random.Random(4)
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    want = [np.array(x.ids, "<u2").tobytes() for x in encoder.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [y for k in range(0, 4000, 500) for y in encoder.encode(texts[k : k + 500])] == want
+
+
 def test_automaton_refuses_merges_out_of_order():
     with pytest.raises(ValueError):
         ba.Automaton({"a": 0, "b": 1, "ab": 2, "abb": 3}, [("ab", "b"), ("a", "b")])
