@@ -50,6 +50,13 @@ def or_everyone(principals: Column) -> Column:
     return F.when(F.coalesce(F.size(principals), F.lit(0)) > 0, principals).otherwise(F.array(F.lit(EVERYONE)))
 
 
+def scopes(users: DataFrame, workspaces: list[str], principals: list[str]) -> DataFrame:
+    """users with what they own of the asked workspaces and principals; those who own none of either are left out."""
+    both = lambda c, asked: F.array_sort(F.array_intersect(c, F.array(*map(F.lit, asked))))
+    cut = users.withColumns({"workspaces": both("workspaces", workspaces), "principals": both("principals", principals)})
+    return cut.where((F.size("workspaces") > 0) & (F.size("principals") > 0))
+
+
 def authenticate(users: DataFrame, token: str) -> DataFrame:
     """The user row whose stored sha256 is that of the bearer token."""
     return users.where(F.col("token_hash") == F.sha2(F.lit(token), 256))

@@ -218,6 +218,9 @@ VECTOR_TOPK = f"SELECT id, round(distance, 5) AS distance FROM ({_VEC}) ORDER BY
 _LEX = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _RANK = "len(list_filter(lex, lambda w: list_contains({0}, w))) / (1 + ln(greatest(len(lex), 1)))"
 FTS_MATCH = f"SELECT doc_id AS seq FROM documents WHERE list_has_all({_LEX.format('text')}, ['ti', 'es'])"
+_PLURAL = "CASE WHEN regexp_matches(w, '(^|[^ea])ies$') THEN w[:-4] || 'y' WHEN regexp_matches(w, '(^|[^aeo])es$') THEN w[:-3] || 'e' WHEN regexp_matches(w, '(^|[^us])s$') THEN w[:-2] ELSE w END"
+FTS_ENGLISH = f"""WITH {_CONV}, l AS (SELECT id, list_transform({_LEX.format('content')}, lambda w: {_PLURAL}) AS lex FROM conv)
+    SELECT id, len(list_distinct(lex)) AS n_lexemes, sha256(array_to_string(list_sort(lex), ' ')) AS lexemes_sha256 FROM l WHERE len(list_filter(lex, lambda w: w LIKE '%e')) > 0"""
 _FTS = f"""fts AS (SELECT cast(seq AS VARCHAR) AS id, {_RANK.format("{words}")} AS rank FROM (SELECT *, {_LEX.format("text")} AS lex FROM items WHERE {_SEEN}) WHERE {{match}})"""
 FTS_TOPK = f"WITH {_ITEMS}, {_FTS.format(words=['ing'], match='''list_contains(lex, 'ing')''')} SELECT id, round(rank, 6) AS rank FROM fts ORDER BY round(rank, 9) DESC, id LIMIT 20"
 _MEMLEX = f"""ml AS (SELECT 'mem:' || id AS id, {_LEX.format("content")} AS lex, {_EFF} AS eff FROM fold WHERE superseded_by IS NULL AND {_SEEN})"""
@@ -365,6 +368,10 @@ IDENTITY_DETAIL = f"""WITH {_FOLD}, seen AS (SELECT *, {_EFF} AS eff FROM fold W
     FROM seen LEFT JOIN chosen b USING (workspace, entity_key) GROUP BY ALL"""
 JSON_ROWS = f"""WITH {_FOLD} SELECT '{{"workspace":"' || workspace || '","entity_key":"' || entity_key || '","n_rows":' || count(*) || '}}' AS json FROM fold WHERE {_SEEN} GROUP BY workspace, entity_key"""
 TOKENS = "SELECT 'c' || c_custkey || '@corp.example' AS email, 'human' AS source_type FROM customer WHERE sha256('token-' || c_custkey) = sha256('token-7')"
+SCOPES = """SELECT * FROM (SELECT 'c' || c_custkey || '@corp.example' AS email,
+    array_to_string(list_sort(list_intersect(CASE WHEN c_nationkey % 2 = 0 THEN ['ws0', 'ws2'] ELSE ['ws1'] END, ['ws1', 'ws2'])), ',') AS workspaces,
+    array_to_string(list_sort(list_intersect(['group:all', 'group:' || CASE c_custkey % 3 WHEN 0 THEN 'exec' WHEN 1 THEN 'sales' ELSE 'eng' END], ['group:exec', 'group:sales'])), ',') AS principals FROM customer)
+    WHERE workspaces <> '' AND principals <> ''"""
 PIPELINE_STATS = f"""WITH {_CH}, {_MEM}, acl AS (SELECT content_hash, workspace, arg_min(allowed_principals, {_AT}) AS allowed_principals FROM ch GROUP BY ALL),
     seen AS (SELECT * FROM acl WHERE workspace = 'ws1' AND {_SEEN})
     SELECT 'raw_events' AS metric, count(*) AS value FROM items WHERE workspace = 'ws1'

@@ -379,6 +379,13 @@ def fts_match(spark, sf):
     return lex.where(retrieval.ft.matches(F.col("lex"), retrieval.ft.query_lexemes("ti es"))).select("seq")
 
 
+@query(o.FTS_ENGLISH)
+def fts_match_english(spark, sf):
+    ft = retrieval.ft
+    lex = ad.memory_conversations(spark, sf).select("id", ft.lexemes(F.col("content"), ft.ENGLISH).alias("lex"))
+    return lex.where(F.exists("lex", lambda w: w.endswith("e"))).select("id", F.size(F.array_distinct("lex")).cast("long").alias("n_lexemes"), F.sha2(F.array_join(F.array_sort("lex"), " "), 256).alias("lexemes_sha256"))
+
+
 @query(o.FTS_TOPK)
 def fts_rank_topk(spark, sf):
     d = access.visible(ad.source_items(spark, sf), None, ALL)
@@ -657,6 +664,12 @@ def authenticated_user(spark, sf):
     return access.authenticate(ad.users(spark, sf), "token-7").select("email", "source_type")
 
 
+@query(o.SCOPES)
+def user_scopes(spark, sf):
+    found = access.scopes(ad.users(spark, sf), ["ws1", "ws2"], ["group:exec", "group:sales"])
+    return found.select("email", F.array_join("workspaces", ",").alias("workspaces"), F.array_join("principals", ",").alias("principals"))
+
+
 @query(o.PIPELINE_STATS)
 def pipeline_stats(spark, sf):
     rows = _normalized(spark, sf)

@@ -136,7 +136,7 @@ def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user for each customer, known by the hash of a token."""
     c = table(spark, sf_dir, "customer")
-    return c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@corp.example")).alias("email"), F.sha2(F.concat(F.lit("token-"), F.col("c_custkey").cast("string")), 256).alias("token_hash"), F.lit("human").alias("source_type"))
+    return c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@corp.example")).alias("email"), F.sha2(F.concat(F.lit("token-"), F.col("c_custkey").cast("string")), 256).alias("token_hash"), F.lit("human").alias("source_type"), F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("ws0"), F.lit("ws2"))).otherwise(F.array(F.lit("ws1"))).alias("workspaces"), F.array(F.lit("group:all"), F.concat(F.lit("group:"), F.when(F.col("c_custkey") % 3 == 0, "exec").when(F.col("c_custkey") % 3 == 1, "sales").otherwise("eng"))).alias("principals"))
 
 
 def writer_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:

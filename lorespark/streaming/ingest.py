@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.functions.scrub import scrub
 from lorespark.operators import ingest as ing
 from lorespark.sources.store import Store
+from lorespark.sources.tables import materialize, release
 
 
 def unique_contents(items: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -30,9 +32,12 @@ def ingest_into(items: DataFrame, store: Store, checkpoint: str, pii: bool = Fal
     """Writes each micro-batch of items to the store's tables; contents that it holds aren't embedded again."""
 
     def one(batch: DataFrame, _: int) -> None:
-        got = ing.ingest(batch, store.read("chunks"), store.read("chunk_acl"), store.read("raw_events"), pii)
+        # Scrubbed once and written, so that what follows reads it three times and scrubs nothing again.
+        clean = materialize(scrub(batch, "text", pii).drop("redactions"), "stream-batch")
+        got = ing.ingest(clean, store.read("chunks"), store.read("chunk_acl"), store.read("raw_events"))
         store.upsert("raw_events", got.events, ing.EVENT_KEY)
         store.insert_absent("chunk_acl", got.acl, ["content_hash", "workspace"])
         store.insert_absent("chunks", got.chunks, ["content_hash"])
+        release(clean)
 
     return items.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
