@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that a strip takes off: what Unicode calls so, and the separators 1C-1F.
-SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 #: A chunk's soft limit in characters: a longer paragraph is not split.
 CHUNK_CHARS = 1200
@@ -34,12 +34,13 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize(c: Column) -> Column:
     """Lines with runs of blanks collapsed, stripped, empty ones dropped."""
-    lines = F.transform(F.split(c, LINE_BREAK), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " ")))
+    collapsed = lambda x: F.when(F.contains(x, F.lit("  ")) | F.contains(x, F.lit("\t")), F.regexp_replace(x, r"[ \t]+", " ")).otherwise(x)
+    lines = F.transform(F.split(c, LINE_BREAK), lambda x: strip(collapsed(x)))
     return strip(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 
