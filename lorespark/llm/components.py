@@ -8,30 +8,40 @@ from pyspark.sql import functions as F
 from lorespark.llm import common
 
 
+def _ends(pointers: DataFrame, name: str) -> DataFrame:
+    """node, top: where pointers (node, top) end, followed by doubling: a path of n takes log n rounds."""
+    while True:
+        up = pointers.select(F.col("node").alias("top"), F.col("top").alias("_next"))
+        further = common.materialize(pointers.select("node", "top").join(up, "top").select("node", F.col("_next").alias("top"), (F.col("_next") != F.col("top")).alias("moved")), f"{name}-tops")
+        common.release(pointers)
+        if further.where("moved").isEmpty():
+            return further
+        pointers = further
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, label for every node of edges (a, b: long).
 
-    In each round every node points to its smallest neighbour, or to itself if it is smaller; pointers are followed
-    twice, edges are drawn between the nodes pointed to, and those within one node vanish. Pointers only descend, so no
-    cycle arises, and each round leaves fewer nodes. Nothing comes to the driver but the number of edges left.
+    In each round every node points to its smallest neighbour, or to itself if it is smaller; pointers are followed to
+    their ends, edges are drawn between these, and those within one node vanish. Pointers only descend, so no cycle arises,
+    and ends are smaller than all of their neighbours, so each round leaves at most half of the nodes. Nothing comes to the
+    driver but whether edges and pointers are left.
     """
     between = common.materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), f"{name}-edges")
     labels = None
     while labels is None or not between.isEmpty():
         ends = between.select(F.col("a").alias("node"), F.col("b").alias("near")).union(between.select("b", "a"))
-        parent = common.materialize(ends.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("parent")), f"{name}-parents")
-        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
-        twice = common.materialize(parent.join(up, "parent", "left").select("node", F.coalesce("top", "parent").alias("top")), f"{name}-tops")
-        last = labels
+        tops = _ends(common.materialize(ends.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("top")), f"{name}-parents"), name)
+        last, to = labels, tops.select("node", "top")
         if labels is None:
-            labels = twice.select("node", F.col("top").alias("label"))
+            labels = to.withColumnRenamed("top", "label")
         else:
-            labels = labels.join(twice.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+            labels = labels.join(to.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
         labels = common.materialize(labels, f"{name}-labels")
-        first = between.join(twice.select(F.col("node").alias("a"), F.col("top").alias("ta")), "a")
-        drawn = first.join(twice.select(F.col("node").alias("b"), F.col("top").alias("tb")), "b")
+        first = between.join(to.select(F.col("node").alias("a"), F.col("top").alias("ta")), "a")
+        drawn = first.join(to.select(F.col("node").alias("b"), F.col("top").alias("tb")), "b")
         drawn = common.materialize(drawn.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where(F.col("a") != F.col("b")).distinct(), f"{name}-edges")
-        common.release(between, parent, twice, last)  # nothing reads a round's tables any more
+        common.release(between, tops, last)  # nothing reads a round's tables any more
         between = drawn
     common.release(between)
     return labels
