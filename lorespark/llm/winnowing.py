@@ -122,7 +122,9 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     edited = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), F.substring("next_text", F.lit(1), n - kept)))
     edited = edited.withColumn("same", same).withColumn("rest", F.substring("edited", F.col("same") + 1, F.length("edited")))
     both = with_minima(edited, "rest", "rest_all", k, window, F.col("same"))
-    both = both.withColumn("efp", F.array_distinct(F.concat(F.slice("all", F.lit(1), F.col("same")), "rest_all")))
+    # Minima of the untouched head are the first of the text's own, up to that of its last window.
+    head = F.when(F.col("same") > 0, F.slice("fp", F.lit(1), F.array_position("fp", F.get("all", F.col("same") - 1)).cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    both = both.withColumn("efp", F.array_distinct(F.concat(head, "rest_all")))
     both = both.select("bucket", "ord", "ghost", "text", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp")
     both = both.withColumn("next_fp", F.lead("fp").over(order)).where(~F.col("ghost"))
     sets = both.withColumns({"own_set": hashes(F.col("fp")), "edited_set": hashes(F.col("efp")), "next_set": hashes(F.col("next_fp"))})
