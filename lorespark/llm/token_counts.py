@@ -48,8 +48,7 @@ def chunked_count(text: str, tok, special: list[str], chunk: int = CHUNK_CHARS,
             left = tok.encode(text[start:stop], add_special_tokens=False) if known is None or known[1] != stop else known[0]
             if stop == len(text) and (end == stop or width >= len(text)):
                 return total + len(left.ids)
-            right_stop = min(len(text), end + chunk + overlap)
-            right = tok.encode(text[end : max(stop, right_stop)], add_special_tokens=False)
+            right = tok.encode(text[end:stop], add_special_tokens=False)  # of the next chunk, what overlaps
             starts = {a + end: k for k, (a, _) in reversed(list(enumerate(right.offsets))) if a + end < stop}
             cut = next(((k, p) for k, (a, _) in enumerate(left.offsets) if (p := a + start) > end and p in starts and presplit.stable_cut(text, p, special) and (k == 0 or left.offsets[k - 1][1] + start <= p)), None)
             if cut is not None:
