@@ -287,6 +287,22 @@ def test_ties_and_samples_depend_on_nothing_but_the_rows(spark):
     assert all((one.net.p[k] == two.net.p[k]).all() for k in one.net.p)
 
 
+def test_every_window_trains_the_network(spark, monkeypatch):
+    # A sample would leave out left neighbours that stand five times in a document.
+    r = random.Random(3)
+    rows = [(k, " ".join(r.sample([f"w{k}x{j}" for j in range(1000)] * 5, 5000))) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tokens in (1_000_000, 5_000):  # one unit, and four in rounds of 1, 1 and 2
+        monkeypatch.setattr(pl, "UNIT_TOKENS", tokens, raising=False)
+        model = pl.train(docs)
+        start = pl.Network(pl.LAYOUT, np.ones(pl.LAYOUT.classes))
+        assert len(model.words) == 4000
+        assert (model.net.p["embed"][:, 1:4001] != start.p["embed"][:, 1:4001]).any(2).all()
+    other = pl.train(docs.orderBy(docs.doc_id.desc()).repartition(3))
+    assert all((model.net.p[k] == other.net.p[k]).all() for k in model.net.p)
+    assert pl.rounds(300)[-3:] == [(64, 128, 64), (128, 256, 64), (256, 300, 44)] and pl.rounds(1) == [(0, 1, 1)]
+
+
 def test_pipeline_stages(spark, sf, edge, benchmark, monkeypatch):
     docs, before = common.documents(spark, sf), None
     for name, stage in corpus_pipeline.STAGES[:-1]:
