@@ -1,10 +1,10 @@
 r"""Document fingerprints by winnowing, in built-in functions only.
 
-The rolling hash of K characters (code points, as they stand) is a polynomial modulo a prime, built by doubling: the hash
-of 2n characters is that of n times a power of the base, plus that of the next n. Of every WINDOW neighbouring hashes the
-smallest is kept, the rightmost of equal ones, with its position; so two texts that share K + WINDOW - 1 characters in a
-row, spaces or none between them, share a fingerprint. A text of fewer characters than K has the one hash of all of them;
-fewer hashes than WINDOW make one window.
+The rolling hash of K characters (code points, as they stand) is a polynomial modulo a prime, built by quadrupling: the
+hash of 4n characters is the sum of those of four neighbouring n, each times a power of the base. Of every WINDOW
+neighbouring hashes the smallest is kept, the rightmost of equal ones, with its position; so two texts that share K +
+WINDOW - 1 characters in a row, spaces or none between them, share a fingerprint. A text of fewer
+characters than K has the one hash of all of them; fewer hashes than WINDOW make one window.
 
 A window's minimum depends on its K + WINDOW - 1 characters alone. So the edited text keeps the minima of its untouched
 head, and only windows that reach past it are worked out anew.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorespark.llm import ordered
+from lorespark.llm import common, ordered
 
 K, WINDOW = 16, 32
 PRIME = (1 << 31) - 1
@@ -39,32 +39,42 @@ def with_minima(df: DataFrame, text: str, name: str, k: int = K, window: int = W
     """
     if any(x & x - 1 or x < 1 for x in (k, window)):
         raise ValueError("k and window must be powers of two")
-    at, head = start if start is not None else F.lit(0), f"_{name}_"
+    at = start if start is not None else F.lit(0)
     none = lambda of: F.expr(f"cast(array() as array<{of}>)")
 
-    def doubled(now: str, by: str, step: int, f) -> None:
-        nonlocal df
-        width = F.greatest(F.size(now) - F.lit(step), F.lit(0))
-        df = df.withColumn(by, F.zip_with(F.slice(F.col(now), F.lit(1), width), F.slice(F.col(now), F.lit(step + 1), width), f))
+    def doubled(now: Column, step: int, f) -> Column:
+        """f of each element and the one step places on; the last ones have none, and are cut off by first."""
+        return common.let(now, lambda x: F.zip_with(x, F.slice(x, F.lit(step + 1), F.size(x)), f))
 
+    def quadrupled(now: Column, step: int, f) -> Column:
+        """As doubled, with the elements one, two and three steps on."""
+        return common.let(now, lambda x: F.transform(x, lambda a, i: f(a, *(F.get(x, i + F.lit(step * j)) for j in (1, 2, 3)))))
+
+    first = lambda x, less: F.slice(x, F.lit(1), F.greatest(F.size(x) - F.lit(less), F.lit(0)))
     chars = F.when(F.length(text) > 0, F.split(F.col(text), "")).otherwise(none("string"))
-    codes = F.transform(chars, lambda c: F.xxhash64(c).bitwiseAND(_long(PRIME - 1)))
-    short = F.when((F.length(text) > 0) & (at == 0), F.greatest(F.lit(k) - F.length(text), F.lit(0))).otherwise(0)
-    now, step = f"{head}h1", 1
-    df = df.withColumn(now, F.concat(codes, F.array_repeat(_long(0), short)))
-    while step < k:
-        power = _long(pow(BASE, step, PRIME))
-        doubled(now, f"{head}h{step * 2}", step, lambda a, b: (a * power + b) % _long(PRIME))
-        now, step = f"{head}h{step * 2}", step * 2
-    v = f"{head}v"
-    df = df.withColumn(v, F.transform(now, lambda x, i: x * _long(_SHIFT) + (_long(_SHIFT - 1) - i - at)))
-    now, step = v, 1
-    while step < window:  # minima of 1, 2, 4, ... neighbours
-        doubled(now, f"{head}m{step * 2}", step, lambda a, b: F.least(a, b))
-        now, step = f"{head}m{step * 2}", step * 2
-    few = F.when((F.size(v) > 0) & (at == 0), F.array(F.array_min(v))).otherwise(none("bigint"))
-    df = df.withColumn(name, F.when(F.size(v) >= window, F.col(now)).otherwise(few))
-    return df.drop(*(c for c in df.columns if c.startswith(head)))
+    now, step = F.transform(chars, lambda c: F.xxhash64(c).bitwiseAND(_long(PRIME - 1))), 1
+    short = F.lit(k) - F.length(text)
+    now = F.when((F.length(text) > 0) & (at == 0) & (short > 0), F.concat(now, F.array_repeat(_long(0), short))).otherwise(now)
+    power = lambda n: _long(pow(BASE, n, PRIME))
+    prime = _long(PRIME)
+    while step * 4 <= k:  # two products of numbers under PRIME fit 63 bits, three need not
+        p1, p2, p3 = (power(step * j) for j in (1, 2, 3))
+        now, step = quadrupled(now, step, lambda a, b, c, d: ((a * p3 + b * p2) % prime + (c * p1 + d)) % prime), step * 4
+    if step < k:
+        now = doubled(now, step, lambda a, b: (a * power(k // 2) + b) % prime)
+    now = F.transform(common.let(now, lambda x: first(x, k - 1)), lambda x, i: x * _long(_SHIFT) + (_long(_SHIFT - 1) - i - at))
+
+    def minima(v: Column) -> Column:
+        now, step = v, 1
+        while step * 4 <= window:  # minima of 1, 4, 16, ... neighbours
+            now, step = quadrupled(now, step, F.least), step * 4
+        if step < window:
+            now = doubled(now, step, lambda a, b: F.least(a, b))
+        whole = F.when(F.size(v) >= window, common.let(now, lambda x: first(x, window - 1)))
+        return whole.when((F.size(v) > 0) & (at == 0), F.array(F.array_min(v))).otherwise(none("bigint"))
+
+    # Steps are nested, not columns of their own, so that arrays aren't packed into rows and unpacked between them.
+    return df.withColumn(name, common.let(now, minima))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, k: int = K, window: int = WINDOW) -> DataFrame:
