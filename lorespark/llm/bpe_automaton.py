@@ -200,7 +200,7 @@ class Codec:
         return raw.decode("utf-8", errors="replace")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = common.memory(__name__)
 
 
 def codec(path: str) -> Codec:

@@ -62,6 +62,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of all texts each feature occurs, and the number of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only(__name__)
         total, n = np.zeros(DIM + 1, np.int64), 0
         for batch in batches:
             for x in batch.column(0).to_pylist():
@@ -217,6 +218,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only(__name__)
         for batch in batches:
             found = [shared.value.predict(x) for x in batch.column(text).to_pylist()]
             yield batch.filter(pa.array([x != UND and p >= least for x, p in found], pa.bool_()))

@@ -44,6 +44,7 @@ def line_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 
 def _stream(min_docs: int, keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only(__name__)
         part = TaskContext.get().partitionId()
         held: list[pa.RecordBatch] = []
         opened = False  # whether this task's first run has ended
@@ -145,6 +146,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, carry: list[str]) -> Data
     joined = sized.join(b, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_version") == F.col("_v")), "left").select("rest", "text", "keep_bitmap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only(__name__)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             kept = [(x, 0) if m is None else kept_lines(x, m) for x, m in zip(texts, batch.column(2).to_pylist())]

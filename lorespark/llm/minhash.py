@@ -140,17 +140,19 @@ def likely(links: DataFrame, classes: DataFrame) -> DataFrame:
 def candidate_links(classes: DataFrame) -> DataFrame:
     """a, b, share: classes linked with the smallest under a table key that they may resemble, without repeats."""
     rows, found = common.materialize(table_rows(classes), "minhash-tables"), []
+    most = rows.count()
     for left in range(ROUNDS, -1, -1):
         tops = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where(F.col("least") < F.col("most")).select("key", "least")
-        met = common.materialize(_with_known(rows, tops, "key").where(F.col("least") != F.col("node")), "minhash-met")
-        links = common.materialize(likely(met.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), classes), "minhash-likely")
+        met = common.materialize(_with_known(rows, tops, "key").where(F.col("least") != F.col("node")), "minhash-met", most)
+        most = met.count()
+        links = common.materialize(likely(met.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), classes), "minhash-likely", most)
         common.release(rows)
         good = F.col("share") >= (THINKABLE if left else 0.0)  # after the last round everything is linked
         found.append(links.where(good))
         failed = links.where(~good).select(F.col("a").alias("least"), F.col("b").alias("node"))
         if not left or failed.isEmpty():
             break
-        rows = common.materialize(met.join(failed, ["least", "node"], "left_semi").select("key", "node"), "minhash-tables")
+        rows = common.materialize(met.join(failed, ["least", "node"], "left_semi").select("key", "node"), "minhash-tables", most)
     return common.materialize(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("share").alias("share")), "minhash-links")
 
 
@@ -251,6 +253,7 @@ def _dealt_sets(docs: DataFrame, work: DataFrame, compare) -> DataFrame:
     dealt = sets.where(F.octet_length("shingles") > 0).select("node", "shingles", F.explode("tasks").alias("t")).select("node", "shingles", "t.*")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        common.only(__name__)
         out: list[tuple[int, int]] = []
         for component, own in part.groupby("component", sort=False):
             if len(own) > 1:

@@ -23,7 +23,7 @@ OVERLAP_CHARS = 1 << 8
 #: Pieces remembered by a worker, past which the memory starts anew, and the longest one: together they bound its bytes.
 REMEMBERED, PIECE_CHARS = 500_000, 64
 
-_counters: dict[str, PieceCounter] = {}
+_counters: dict[str, PieceCounter] = common.memory(__name__)
 
 
 def library(path: str):

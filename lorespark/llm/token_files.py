@@ -105,7 +105,7 @@ class UnitEncoder:
         return {u: self._pack(e.ids) for u, e in zip(keys, self.tok.encode_batch_fast([u[1:] if u[0] == " " else " " + u for u in keys], add_special_tokens=False))}
 
 
-_encoders: dict[tuple[str, str], UnitEncoder] = {}
+_encoders: dict[tuple[str, str], UnitEncoder] = common.memory(__name__)
 
 
 def _encoder(path: str, dtype: str) -> UnitEncoder:

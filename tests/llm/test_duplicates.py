@@ -9,12 +9,14 @@ import numpy as np
 import pytest
 import xxhash
 
+from lorespark.llm import common
 from lorespark.llm import decontamination as dc
 from lorespark.llm import line_dedup as ld
 from lorespark.llm import minhash as mh
 from lorespark.llm import ordered
 from lorespark.llm import winnowing as wn
 from lorespark.llm.components import components
+from lorespark.sources.tables import FILE_ROWS
 
 
 def lower(x: str) -> str:
@@ -293,3 +295,16 @@ def test_buckets_follow_the_order_of_keys(spark):
     assert all(r.b == sum(c <= r.k for c in cuts) for r in got)
     assert max(Counter(r.b for r in got).values()) < 120
     assert df.select(F.max(ordered.bucket(ordered.order_key(), []))).first()[0] == 0
+
+
+def test_a_small_table_is_written_in_few_files(spark):
+    rows = spark.range(500).repartition(40)
+    shuffled, cores = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        few = common.materialize(rows, "few", 500)
+        assert len(few.inputFiles()) <= max(cores, 1) < 40
+        assert sorted(r.id for r in few.collect()) == list(range(500))
+        assert len(common.materialize(rows, "many", 100 * FILE_ROWS).inputFiles()) == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)

@@ -176,3 +176,13 @@ def test_files_round_trip(spark, edge, empty):
     assert tf.read_document(uri, 8, segments, dtype).tolist() == tok.encode("Word", add_special_tokens=False).ids + [2]
     assert tf.read_document(uri, 12345, segments, dtype) is None
     assert tf.round_trip(empty, path, 2).count() == 0
+
+
+def test_a_worker_gives_back_the_memory_of_another_operator(spark, edge):
+    ba.encode_decode(edge, public_tokenizers.path("word_bpe_49k.json")).collect()
+
+    def probe(ids):
+        return {"held": [len(ba._codecs) for _ in ids]}
+
+    held = [r.held for _ in range(3) for r in common.map_text(edge, probe, "held int", "doc_id").collect()]
+    assert held and not any(held)
