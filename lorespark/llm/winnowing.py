@@ -43,9 +43,11 @@ def with_minima(df: DataFrame, text: str, name: str, k: int = K, window: int = W
     none = lambda of: F.expr(f"cast(array() as array<{of}>)")
 
     def doubled(now: str, by: str, step: int, f) -> None:
+        """f of each element and the one step places on; the last ones have none, and are cut off by first."""
         nonlocal df
-        width = F.greatest(F.size(now) - F.lit(step), F.lit(0))
-        df = df.withColumn(by, F.zip_with(F.slice(F.col(now), F.lit(1), width), F.slice(F.col(now), F.lit(step + 1), width), f))
+        df = df.withColumn(by, F.zip_with(F.col(now), F.slice(F.col(now), F.lit(step + 1), F.size(now)), f))
+
+    first = lambda x, less: F.slice(F.col(x), F.lit(1), F.greatest(F.size(x) - F.lit(less), F.lit(0)))
 
     chars = F.when(F.length(text) > 0, F.split(F.col(text), "")).otherwise(none("string"))
     codes = F.transform(chars, lambda c: F.xxhash64(c).bitwiseAND(_long(PRIME - 1)))
@@ -54,16 +56,19 @@ def with_minima(df: DataFrame, text: str, name: str, k: int = K, window: int = W
     df = df.withColumn(now, F.concat(codes, F.array_repeat(_long(0), short)))
     while step < k:
         power = _long(pow(BASE, step, PRIME))
-        doubled(now, f"{head}h{step * 2}", step, lambda a, b: (a * power + b) % _long(PRIME))
+        doubled(now, f"{head}h{step * 2}", step, lambda a, b: F.pmod(a * power + b, _long(PRIME)))
         now, step = f"{head}h{step * 2}", step * 2
     v = f"{head}v"
-    df = df.withColumn(v, F.transform(now, lambda x, i: x * _long(_SHIFT) + (_long(_SHIFT - 1) - i - at)))
+    df = df.withColumn(f"{head}h", first(now, k - 1))
+    top = _long(_SHIFT - 1) - at
+    down = F.when(F.size(f"{head}h") > 0, F.sequence(top, top - F.size(f"{head}h") + 1, _long(-1))).otherwise(none("bigint"))
+    df = df.withColumn(v, F.zip_with(f"{head}h", down, lambda x, i: F.shiftleft(x, 31).bitwiseOR(i)))
     now, step = v, 1
     while step < window:  # minima of 1, 2, 4, ... neighbours
-        doubled(now, f"{head}m{step * 2}", step, lambda a, b: F.least(a, b))
+        doubled(now, f"{head}m{step * 2}", step, lambda a, b: F.when(b < a, b).otherwise(a))
         now, step = f"{head}m{step * 2}", step * 2
     few = F.when((F.size(v) > 0) & (at == 0), F.array(F.array_min(v))).otherwise(none("bigint"))
-    df = df.withColumn(name, F.when(F.size(v) >= window, F.col(now)).otherwise(few))
+    df = df.withColumn(name, F.when(F.size(v) >= window, first(now, window - 1)).otherwise(few))
     return df.drop(*(c for c in df.columns if c.startswith(head)))
 
 

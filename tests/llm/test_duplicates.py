@@ -308,3 +308,9 @@ def test_a_small_table_is_written_in_few_files(spark):
         assert len(common.materialize(rows, "many", 100 * FILE_ROWS).inputFiles()) == 40
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+
+
+def test_winnowing_copies_each_array_once_a_step(spark):
+    """Of the 4 steps of the hash and the 5 of the minima each slices one of its two inputs; two slices cut the ends off."""
+    found = wn.with_minima(spark.createDataFrame([(0, "a" * 200)], "doc_id long, text string"), "text", "m")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("slice(") <= 4 + 5 + 2
