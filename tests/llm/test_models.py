@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -273,6 +274,30 @@ def test_network_gives_probabilities_and_follows_its_gradient():
         assert abs((loss[0] - loss[1]) / 2e-2 - g.reshape(-1)[at]) < 2e-3, name
 
 
+def test_columns_of_words_are_what_one_word_after_another_gives():
+    r = random.Random(4)
+    texts = [None, "", " ", "A\x0bb\x1cC\x85 d\u00a0e\u3000F", "\r\n x  Y\tx ", "İ ÉTÉ été \x00 a\x00b", "z" * 63, "z" * 64, "z" * 65, "Q" * 5000 + " q"]
+    texts += ["".join(r.choice("aB é漢\n\t") for _ in range(r.randint(0, 200))) for _ in range(60)]
+    want = [pl.split(x) for x in texts]
+    column = pa.array(["cut off", *texts], pa.string())[1:]
+    found, at, n = pl._coded(column)
+    words = found.to_pylist()
+    assert [words[k] for k in at] == [w for x in want for w in x] and n.tolist() == [len(x) for x in want]
+    assert len(set(words)) == len(words)
+    hashes, crc = pl._hashes(found)
+    assert crc.tolist() == [zlib.crc32(w) for w in words] and len(set(hashes.tolist())) == len(words)
+    # A word's hash depends on nothing but the word.
+    assert pl._hashes(pa.array(words[::-1], pa.binary())[1:])[0].tolist() == hashes[::-1][1:].tolist()
+    frequent = words[3:40]
+    classes = [SMALL.of(w, {w: k + 1 for k, w in enumerate(frequent)}) for w in words]
+    assert pl._classes(found, pa.array(frequent, pa.binary()), SMALL).tolist() == classes
+    ids = pl.word_ids(found, pa.array(frequent, pa.binary()), SMALL)
+    assert (ids % np.uint64(SMALL.classes)).tolist() == classes and len(set(ids.tolist())) == len(words)
+    batches = pa.table({"text": column}).to_batches(max_chunksize=7)
+    assert [x for b in pl.blocks(iter(batches), 500) for x in b.column(0).to_pylist()] == texts
+    assert not list(pl.blocks(iter([]), 500)) and [len(x) for x in pl._coded(pa.array([None], pa.string()))] == [0, 0, 1]
+
+
 def test_network_learns_what_both_sides_say():
     sample = np.array([[1, 2, 30, 4, 5], [1, 2, 40, 4, 6], [9, 2, 30, 4, 6], [9, 2, 50, 4, 5]] * 400)
     net = pl.Network(SMALL, np.ones(64)).train(sample, 60)
