@@ -18,11 +18,12 @@ from __future__ import annotations
 import io
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,19 +38,45 @@ GAMMA, LEVELS = 2.0, 24
 _U64 = (1 << 64) - 1
 
 
-#: The longest unit that is remembered, and how many are given to the library as one text.
-UNIT_CHARS, JOINED = 48, 128
+#: The longest unit that is remembered, how many are given to the library as one text, and bytes of text encoded at once.
+UNIT_CHARS, JOINED, BLOCK_BYTES = 48, 128, 8 << 20
 #: What stands for a space at the head of a byte-level token.
 _SPACE_SYMBOL = chr(0x120)
 _UNIT = re.compile(f"(?= [^\\s{chr(0x180E)}{chr(0x200B)}{chr(0xFEFF)}])")
-_ODD = re.compile(f" (?:[\\s{chr(0x180E)}{chr(0x200B)}{chr(0xFEFF)}]|\\Z)")
+_BLANK = re.compile(f"[\\s{chr(0x180E)}{chr(0x200B)}{chr(0xFEFF)}]|\\Z")
 
 
-def units(text: str) -> list[str]:
-    """Keys of the units of a text: what follows the space; the first, which has none, with a space before it."""
-    found = [x[1:] if k else x for k, x in enumerate(_UNIT.split(text))] if _ODD.search(text) else text.split(" ")
-    found[0] = " " + found[0]
-    return found
+def _text(x: str) -> pa.Scalar:
+    return pa.scalar(x, pa.large_string())
+
+
+def units(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct keys, the key of each unit of all texts, and how many units each text has.
+
+    A key is what follows the unit's space; that of a text's first unit, which has none, begins with a space.
+    """
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded, n = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    keys, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    first = np.cumsum(n) - n
+    opening = pc.utf8_slice_codeunits(keys, 0, 1)
+    blank = pa.array([x for x in pc.unique(opening).to_pylist() if _BLANK.match(x)], pa.large_string())
+    odd = pc.is_in(opening, value_set=blank).to_numpy(zero_copy_only=False)[at]
+    odd[first] = False
+    heads = pc.binary_join_element_wise(_text(""), keys.take(pa.array(at[first])), _text(" ")).dictionary_encode()
+    at[first] = len(keys) + heads.indices.to_numpy()
+    keys = pa.concat_arrays([keys, heads.dictionary])
+    if odd.any():  # spaces before white space begin no unit
+        parts, more = np.split(at, first[1:]), []
+        for k in np.unique(np.repeat(np.arange(len(n)), n)[odd]).tolist():
+            head, *others = _UNIT.split(texts[k])
+            n[k] = 1 + len(others)
+            parts[k] = np.arange(n[k]) + len(keys) + len(more)
+            more += [" " + head, *(x[1:] for x in others)]
+        coded = pa.concat_arrays([keys, pa.array(more, pa.large_string())]).dictionary_encode()
+        keys, at = coded.dictionary, coded.indices.to_numpy()[np.concatenate(parts)]
+    used = np.bincount(at, minlength=len(keys)) > 0
+    return keys.filter(pa.array(used)), (np.cumsum(used) - 1)[at], n
 
 
 class UnitEncoder:
@@ -68,41 +95,70 @@ class UnitEncoder:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.opens[[i for s, i in vocab.items() if s.startswith(_SPACE_SYMBOL)]] = True
-        self.known: dict[str, bytes] = {}
+        self.keys, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    @property
+    def known(self) -> list[str]:
+        """The units that are remembered."""
+        return self.keys.to_pylist()
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        get = self.known.get
-        keys = [units(x) if self.plain and not (self.splitter is not None and self.splitter.search(x)) else None for x in texts]
-        found = [None if k is None else list(map(get, k)) for k in keys]
-        holes = [() if f is None else [i for i, x in enumerate(f) if x is None] for f in found]
-        new = self._learn({k[i] for k, h in zip(keys, holes) for i in h})
-        for k, f, h in zip(keys, found, holes):
-            for i in h:
-                f[i] = new[k[i]]
-        return [self._pack(self.tok.encode(t, add_special_tokens=False).ids) if f is None else b"".join(f) for t, f in zip(texts, found)]
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        short = [u for u in new if u[0] != " " and len(u) <= UNIT_CHARS]
-        out, width = self._alone(new.difference(short)), np.dtype(self.dtype).itemsize
-        groups = [short[k : k + JOINED] for k in range(0, len(short), JOINED)]
+        whole = [i for i, x in enumerate(texts) if not self.plain or self.splitter is not None and self.splitter.search(x)]
+        out = [self._pack(self.tok.encode(texts[i], add_special_tokens=False).ids) for i in whole]
+        if len(whole) == len(texts):
+            return out
+        apart = set(whole)
+        keys, at, n = units([x for i, x in enumerate(texts) if i not in apart])
+        found = self._ids(keys).take(pa.array(at))
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[np.concatenate([[0], np.cumsum(n)])].tolist()
+        raw = memoryview(found.buffers()[2] or b"")
+        split, alone = iter([bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]), iter(out)
+        return [next(alone if i in apart else split) for i in range(len(texts))]
+
+    def _ids(self, keys: pa.Array) -> pa.Array:
+        """The ids of each of distinct keys, remembered or from the library."""
+        at = pc.index_in(keys, value_set=self.keys)
+        new = keys.filter(at.is_null())
+        learnt = self._learn(new)
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.keys) + np.arange(len(new))
+        found = pa.concat_arrays([self.ids, learnt]).take(pa.array(at))
+        if len(self.keys) + len(new) > REMEMBERED:  # what was met before goes
+            self.keys, self.ids, new, learnt = self.keys[:0], self.ids[:0], keys[:REMEMBERED], found[:REMEMBERED]
+        short = pc.less_equal(pc.utf8_length(new), UNIT_CHARS)
+        self.keys, self.ids = (pa.concat_arrays([x, y.filter(short)]) for x, y in ((self.keys, new), (self.ids, learnt)))
+        return found
+
+    def _learn(self, new: pa.Array) -> pa.Array:
+        """The ids of each key by the library."""
+        together = pc.and_(pc.invert(pc.starts_with(new, " ")), pc.less_equal(pc.utf8_length(new), UNIT_CHARS))
+        short, width = new.filter(together), np.dtype(self.dtype).itemsize
+        cuts = np.append(np.arange(0, len(short), JOINED), len(short))
+        groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), short), _text(" ")).to_pylist() if len(short) else []
+        parts = [self._packed(self._alone(new.filter(pc.invert(together)).to_pylist()))]
         for k in range(0, len(groups), 32):
-            part = groups[k : k + 32]
-            for group, e in zip(part, self.tok.encode_batch_fast([" " + " ".join(g) for g in part], add_special_tokens=False)):
-                ids = np.array(e.ids, self.dtype)
-                cuts = (np.flatnonzero(self.opens[ids]) * width).tolist()
-                raw = ids.tobytes()
-                out |= zip(group, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]) if len(cuts) == len(group) else self._alone(group)
-        self.known.update((u, out[u]) for u in new if len(u) <= UNIT_CHARS)
-        return out
-
-    def _alone(self, keys: Iterable[str]) -> dict[str, bytes]:
-        keys = list(keys)
-        return {u: self._pack(e.ids) for u, e in zip(keys, self.tok.encode_batch_fast([u[1:] if u[0] == " " else " " + u for u in keys], add_special_tokens=False))}
+            encoded = [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast([" " + g for g in groups[k : k + 32]], add_special_tokens=False)]
+            size = np.diff(cuts[k : k + 33])
+            if [np.count_nonzero(self.opens[x]) for x in encoded] == size.tolist():
+                ids = np.concatenate(encoded)
+                ends = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * width
+                parts.append(pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]))
+            else:
+                parts.append(self._packed(self._alone(short[cuts[k] : cuts[min(k + 32, len(groups))]].to_pylist())))
+        order = np.empty(len(new), np.int64)
+        mask = together.to_numpy(zero_copy_only=False)
+        order[np.concatenate([np.flatnonzero(~mask), np.flatnonzero(mask)])] = np.arange(len(new))
+        return pa.concat_arrays(parts).take(pa.array(order))
+
+    @staticmethod
+    def _packed(ids: list[bytes]) -> pa.Array:
+        return pa.array(ids, pa.large_binary())
+
+    def _alone(self, keys: list[str]) -> list[bytes]:
+        return [self._pack(e.ids) for e in self.tok.encode_batch_fast([u[1:] if u[0] == " " else " " + u for u in keys], add_special_tokens=False)]
 
 
 _encoders: dict[tuple[str, str], UnitEncoder] = common.memory(__name__)
@@ -156,7 +212,7 @@ def write_shards(docs: DataFrame, tokenizer: str, uri: str, end_id: int, dtype:
                 out.close()
                 there.move(f"{root}/_{shard_name(shard)}.{attempt}", f"{root}/{shard_name(shard)}")
 
-        for batch in batches:
+        for batch in common.blocks(batches, 1, BLOCK_BYTES):
             ords, texts, shards = (batch.column(i).to_pylist() for i in range(3))
             index = []
             for o, s, ids in zip(ords, shards, _encoder(tokenizer, dtype).encode(texts)):

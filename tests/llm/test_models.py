@@ -294,8 +294,8 @@ def test_columns_of_words_are_what_one_word_after_another_gives():
     ids = pl.word_ids(found, pa.array(frequent, pa.binary()), SMALL)
     assert (ids % np.uint64(SMALL.classes)).tolist() == classes and len(set(ids.tolist())) == len(words)
     batches = pa.table({"text": column}).to_batches(max_chunksize=7)
-    assert [x for b in pl.blocks(iter(batches), 500) for x in b.column(0).to_pylist()] == texts
-    assert not list(pl.blocks(iter([]), 500)) and [len(x) for x in pl._coded(pa.array([None], pa.string()))] == [0, 0, 1]
+    assert [x for b in common.blocks(iter(batches), 0, 500) for x in b.column(0).to_pylist()] == texts
+    assert not list(common.blocks(iter([]), 0, 500)) and [len(x) for x in pl._coded(pa.array([None], pa.string()))] == [0, 0, 1]
 
 
 def test_network_learns_what_both_sides_say():

@@ -119,6 +119,22 @@ def test_units_equal_the_library():
     assert [y for k in range(0, 4000, 500) for y in encoder.encode(texts[k : k + 500])] == want
 
 
+def test_columns_of_units_and_their_bounded_memory(monkeypatch):
+    r = random.Random(9)
+    parts = [*PARTS, " x", " \n", "\n ", "   ", " a b", chr(0x3000), chr(0x120), "", " " + "long" * 20]
+    texts = ["", " ", "x ", " x", "a  b", "a \n b c", *("".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(400))]
+    keys, at, n = tf.units(texts)
+    names = keys.to_pylist()
+    want = [[" " + x if k == 0 else x[1:] for k, x in enumerate(tf._UNIT.split(text))] for text in texts]
+    assert [names[k] for k in at] == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+    assert len(set(names)) == len(names) and set(at.tolist()) == set(range(len(names)))
+    monkeypatch.setattr(tf, "REMEMBERED", 40)
+    encoder = tf.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
+    for part in (texts[:20], texts[20:], texts[:20], texts[5:6], []):
+        assert encoder.encode(part) == [np.array(encoder.tok.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in part]
+        assert 0 < len(encoder.known) <= 40 and all(len(x) <= tf.UNIT_CHARS for x in encoder.known)
+
+
 def test_automaton_refuses_merges_out_of_order():
     with pytest.raises(ValueError):
         ba.Automaton({"a": 0, "b": 1, "ab": 2, "abb": 3}, [("ab", "b"), ("a", "b")])
