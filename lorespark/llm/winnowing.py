@@ -7,7 +7,8 @@ row, spaces or none between them, share a fingerprint. A text of fewer character
 fewer hashes than WINDOW make one window.
 
 A window's minimum depends on its K + WINDOW - 1 characters alone. So the edited text keeps the minima of its untouched
-head, and only windows that reach past it are worked out anew.
+head, has those of the next document for what it took of it, moved to their new positions, and only windows that reach
+over the seam between the two are worked out anew.
 
 Null counts as empty; an empty text has an empty fingerprint, and two empty ones are alike. Rows that repeat a doc_id are
 taken in the order of their texts; a null doc_id comes first. Other columns are ignored.
@@ -42,27 +43,31 @@ def with_minima(df: DataFrame, text: str, name: str, k: int = K, window: int = W
     at, head = start if start is not None else F.lit(0), f"_{name}_"
     none = lambda of: F.expr(f"cast(array() as array<{of}>)")
 
+    def apart(column: str, value: Column, f) -> None:
+        """Adds column: f of value. An array made within the projection of a lambda function is interpreted as well; asked for
+        twice, it has a projection of its own, which is compiled."""
+        nonlocal df
+        df = df.withColumn(f"{column}_of", value)
+        df = df.withColumn(column, F.when(F.size(f"{column}_of") >= 0, f(F.col(f"{column}_of"))))
+
     def doubled(now: str, by: str, step: int, f) -> None:
         """f of each element and the one step places on; the last ones have none, and are cut off by first."""
-        nonlocal df
-        df = df.withColumn(by, F.zip_with(F.col(now), F.slice(F.col(now), F.lit(step + 1), F.size(now)), f))
+        apart(by, F.slice(F.col(now), F.lit(step + 1), F.size(now)), lambda after: F.zip_with(F.col(now), after, f))
 
     first = lambda x, less: F.slice(F.col(x), F.lit(1), F.greatest(F.size(x) - F.lit(less), F.lit(0)))
 
     chars = F.when(F.length(text) > 0, F.split(F.col(text), "")).otherwise(none("string"))
-    codes = F.transform(chars, lambda c: F.xxhash64(c).bitwiseAND(_long(PRIME - 1)))
     short = F.when((F.length(text) > 0) & (at == 0), F.greatest(F.lit(k) - F.length(text), F.lit(0))).otherwise(0)
     now, step = f"{head}h1", 1
-    df = df.withColumn(now, F.concat(codes, F.array_repeat(_long(0), short)))
+    codes = F.transform(chars, lambda c: F.xxhash64(c).bitwiseAND(_long(PRIME - 1)))
+    df = df.withColumn(now, F.when(short > 0, F.concat(codes, F.array_repeat(_long(0), short))).otherwise(codes))
     while step < k:
         power = _long(pow(BASE, step, PRIME))
-        doubled(now, f"{head}h{step * 2}", step, lambda a, b: F.pmod(a * power + b, _long(PRIME)))
+        doubled(now, f"{head}h{step * 2}", step, lambda a, b: (a * power + b) % _long(PRIME))
         now, step = f"{head}h{step * 2}", step * 2
     v = f"{head}v"
-    df = df.withColumn(f"{head}h", first(now, k - 1))
     top = _long(_SHIFT - 1) - at
-    down = F.when(F.size(f"{head}h") > 0, F.sequence(top, top - F.size(f"{head}h") + 1, _long(-1))).otherwise(none("bigint"))
-    df = df.withColumn(v, F.zip_with(f"{head}h", down, lambda x, i: F.shiftleft(x, 31).bitwiseOR(i)))
+    apart(v, first(now, k - 1), lambda h: F.transform(h, lambda x, i: F.shiftleft(x, 31).bitwiseOR(top - i)))
     now, step = v, 1
     while step < window:  # minima of 1, 2, 4, ... neighbours
         doubled(now, f"{head}m{step * 2}", step, lambda a, b: F.when(b < a, b).otherwise(a))
@@ -118,20 +123,29 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     doc_id; after the last comes the first.
     """
     order = Window.partitionBy("bucket").orderBy("ord", "ghost", "text")
-    led = neighbours(docs).withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
-    own = with_minima(led, "text", "all", k, window).withColumn("fp", F.array_distinct("all"))
+    reach = k + window - 1
     n = F.length("text")
     kept = n - F.floor(n / 4).cast("int")
-    # Windows whose characters all lie in the kept part: their minima are the text's own.
-    same = F.greatest(kept - F.lit(k + window - 2), F.lit(0))
-    edited = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), F.substring("next_text", F.lit(1), n - kept)))
-    edited = edited.withColumn("same", same).withColumn("rest", F.substring("edited", F.col("same") + 1, F.length("edited")))
-    both = with_minima(edited, "rest", "rest_all", k, window, F.col("same"))
-    # Minima of the untouched head are the first of the text's own, up to that of its last window.
-    head = F.when(F.col("same") > 0, F.slice("fp", F.lit(1), F.array_position("fp", F.get("all", F.col("same") - 1)).cast("int"))).otherwise(F.array().cast("array<bigint>"))
-    both = both.withColumn("efp", F.array_distinct(F.concat(head, "rest_all")))
-    both = both.select("bucket", "ord", "ghost", "text", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp")
-    both = both.withColumn("next_fp", F.lead("fp").over(order)).where(~F.col("ghost"))
+    # Windows whose characters all lie in the kept part: their minima are the text's own, up to that of the last of them.
+    same = F.greatest(kept - F.lit(reach - 1), F.lit(0))
+    own = with_minima(neighbours(docs), "text", "all", k, window)
+    own = own.withColumns({"fp": F.array_distinct("all"), "last": F.get("all", same - 1)}).drop("all")
+    led = own.withColumns({"next_text": F.coalesce(F.lead("text").over(order), F.lit("")), "next_fp": F.lead("fp").over(order)}).where(~F.col("ghost"))
+    led = led.withColumns({"kept": kept, "same": same, "taken": F.substring("next_text", F.lit(1), n - kept)})
+    m = F.length("taken")
+    # The seam, and after it the last whole window of what was taken, which tells how many minima of the next text to take.
+    whole = m >= reach
+    seam = F.concat(F.substring("text", F.col("same") + 1, F.col("kept") - F.col("same")), F.substring("taken", F.lit(1), F.lit(reach - 1)))
+    end = F.when(whole, F.substring("taken", m - F.lit(reach - 1), F.lit(reach))).otherwise(F.lit(""))
+    edited = led.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.concat(F.substring("text", F.lit(1), F.col("kept")), "taken"), 256).alias("edited_sha256"), "fp", "next_fp", "last", "kept", "same", m.alias("m"), F.concat(seam, end).alias("seam"))
+    both = with_minima(edited, "seam", "seam_all", k, window, F.col("same"))
+    over, whole = F.col("kept") - F.col("same"), F.col("m") >= reach
+    head = F.when(F.col("same") > 0, F.slice("fp", F.lit(1), F.array_position("fp", F.col("last")).cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    anew = F.when(whole, F.slice("seam_all", F.lit(1), over)).otherwise(F.col("seam_all"))
+    # The last window begins over + reach - 1 characters after same here, and m - reach characters after the next text's first.
+    until = F.get("seam_all", F.size("seam_all") - 1) + (F.col("kept") + F.lit(2 * reach - 1) - F.col("m"))
+    taken = F.when(whole, F.slice("next_fp", F.lit(1), F.array_position("next_fp", until).cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    both = both.withColumn("efp", F.array_distinct(F.concat(head, anew, F.transform(taken, lambda x: x - F.col("kept")))))
     sets = both.withColumns({"own_set": hashes(F.col("fp")), "edited_set": hashes(F.col("efp")), "next_set": hashes(F.col("next_fp"))})
     sets = sets.withColumns({f"_n_{x}": F.size(x) for x in ("own_set", "edited_set", "next_set")})
     return sets.select("doc_id", "n_chars", "edited_sha256", "fp", "efp", likeness("own_set", "edited_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"))

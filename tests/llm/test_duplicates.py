@@ -314,3 +314,19 @@ def test_winnowing_copies_each_array_once_a_step(spark):
     """Of the 4 steps of the hash and the 5 of the minima each slices one of its two inputs; two slices cut the ends off."""
     found = wn.with_minima(spark.createDataFrame([(0, "a" * 200)], "doc_id long, text string"), "text", "m")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("slice(") <= 4 + 5 + 2
+
+
+def test_winnowing_works_out_anew_only_the_seam(spark, monkeypatch):
+    """What the edited text takes of the next has minima of its own there, whether it holds a whole window or not."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(15)
+    text = lambda n: "".join(r.choice("ab é漢😀") for _ in range(n))
+    rows = [(2 * k, text(n)) for k, n in enumerate([184, 187, 188, 191, 192, 195, 196, 260, 800, 800, 800, 800, 800, 5000])]
+    rows += [(2 * k + 1, text(n)) for k, n in enumerate([46, 47, 48, 300, 300, 300, 300, 0, 45, 46, 47, 48, 49, 4000])]
+    asked, whole = [], wn.with_minima
+    monkeypatch.setattr(wn, "with_minima", lambda df, text, *more: asked.append((df, text)) or whole(df, text, *more))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert winnowed(docs) == brute_winnowing(rows)
+    longest = asked[1][0].agg(F.max(F.length(asked[1][1]))).first()[0]
+    assert len(asked) == 2 and longest <= 3 * (wn.K + wn.WINDOW - 1)
