@@ -69,7 +69,7 @@ def search(chunks: DataFrame, embeddings: DataFrame, live_memory: DataFrame, que
     return rrf([v, f, m]).orderBy(F.desc(F.round("score", 9)), "id").limit(clamp_k(k))
 
 
-def search_expanded(live: DataFrame, asked: DataFrame, synonym: DataFrame, as_of: Column, k: int = 10) -> DataFrame:
+def search_expanded(live: DataFrame, asked: DataFrame, synonym: DataFrame | federated.Classes, as_of: Column, k: int = 10) -> DataFrame:
     """The memory arm for one query (query_id, query), widened by the first EXPANSIONS terms that federated.expand gives.
 
     A query's text and at most EXPANSIONS terms come to the driver: they become literals of the plan.

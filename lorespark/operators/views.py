@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.operators import federated
+
 
 def workspaces(*tables: DataFrame) -> DataFrame:
     """Every workspace that any of the tables names."""
@@ -41,13 +43,17 @@ def redactions_since(redactions: DataFrame, since: Column) -> DataFrame:
     return totals.orderBy(F.desc("total"), "kind", "source", "source_id", "workspace")
 
 
-def concepts_view(concept: DataFrame, tenant: DataFrame, synonym: DataFrame, workspace: str, n: int = 30) -> DataFrame:
+def concepts_view(concept: DataFrame, tenant: DataFrame, synonym: DataFrame | federated.Classes, workspace: str, n: int = 30) -> DataFrame:
     """part, name, other, count, weight: the n first concepts of all tenants, of the workspace itself, and synonyms."""
     row = lambda part, name, other, count, weight: (F.lit(part).alias("part"), name.alias("name"), other.alias("other"), count.cast("long").alias("count"), weight.cast("double").alias("weight"))
     none = F.lit(None).cast("string")
     top = concept.orderBy(F.desc("tenant_count"), F.desc("global_count"), "name").limit(n).select(*row("global", F.col("name"), none, F.col("tenant_count"), F.col("global_count")))
     own = tenant.where(F.col("workspace") == workspace).join(concept.select("name"), "name", "left_semi").orderBy(F.desc("local_count"), "name").limit(n).select(*row("local", F.col("name"), none, F.col("local_count"), F.lit(None)))
-    syn = synonym.orderBy(F.desc(F.round("confidence", 9)), F.desc("cooccurrence_tenants"), "concept_a", "concept_b").limit(n).select(*row("synonym", F.col("concept_a"), F.col("concept_b"), F.col("cooccurrence_tenants"), F.round("confidence", 6)))
+    if isinstance(synonym, federated.Classes):
+        best = federated.first_synonyms(synonym, n)
+    else:
+        best = synonym.orderBy(F.desc(F.round("confidence", 9)), F.desc("cooccurrence_tenants"), "concept_a", "concept_b").limit(n)
+    syn = best.select(*row("synonym", F.col("concept_a"), F.col("concept_b"), F.col("cooccurrence_tenants"), F.round("confidence", 6)))
     return top.unionByName(own).unionByName(syn)
 
 
