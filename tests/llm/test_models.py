@@ -328,6 +328,16 @@ def test_every_window_trains_the_network(spark, monkeypatch):
     assert pl.rounds(300)[-3:] == [(64, 128, 64), (128, 256, 64), (256, 300, 44)] and pl.rounds(1) == [(0, 1, 1)]
 
 
+def test_a_long_corpus_has_as_many_passes_as_a_short_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a{k % 7} b c{k % 3} " * 20) for k in range(60)], "doc_id long, text string")
+    asked, train_round = [], pl.train_round
+    monkeypatch.setattr(pl, "train_round", lambda rows, net, past, first, after, tasks, epochs, batch: (asked.append((first, after, epochs)), train_round(rows, net, past, first, after, tasks, epochs, batch)))
+    pl.train(docs, SMALL)
+    monkeypatch.setattr(pl, "UNIT_TOKENS", 1_000)
+    pl.train(docs, SMALL)
+    assert asked == [(0, 1, pl.EPOCHS), (0, 1, pl.EPOCHS), (1, 2, pl.EPOCHS), (2, 4, pl.EPOCHS)] and pl.EPOCHS == 2
+
+
 def test_pipeline_stages(spark, sf, edge, benchmark, monkeypatch):
     docs, before = common.documents(spark, sf), None
     for name, stage in corpus_pipeline.STAGES[:-1]:
