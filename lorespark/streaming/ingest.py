@@ -38,6 +38,6 @@ def ingest_into(items: DataFrame, store: Store, checkpoint: str, pii: bool = Fal
         store.upsert("raw_events", got.events, ing.EVENT_KEY)
         store.insert_absent("chunk_acl", got.acl, ["content_hash", "workspace"])
         store.insert_absent("chunks", got.chunks, ["content_hash"])
-        release(clean)
+        release(clean, got.rows)
 
     return items.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
