@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lorespark.functions import scoring as sc
@@ -34,3 +35,17 @@ def test_ingest_cuts_chunks_once_and_shuffles_no_text_for_ids(spark, sf):
         want = ingest.latest_events(items, known).select("source", "source_id", "event_id", "seq").collect()
         got = ingest.event_ids(items, known).select("source", "source_id", "event_id", "last_seq").collect()
         assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, (tuple(r) for r in want)))
+
+
+def test_a_worker_embeds_few_texts_at_a_time(spark, sf, monkeypatch):
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        registry.QUERIES["local_embed"](spark, sf)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= sc.EMBED_ROWS
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    monkeypatch.setattr(sc, "KNOWN_TOKENS", 2)  # what is remembered changes no vector
+    texts = [pd.Series(["a b c d", None]), pd.Series(["a b c d", "d"])]
+    one, two = sc._embed_batches(iter(texts))
+    assert (one[0] == two[0]).all() and one[1].sum() == 0 and two[1].max() == 1
