@@ -274,6 +274,27 @@ def test_network_gives_probabilities_and_follows_its_gradient():
         assert abs((loss[0] - loss[1]) / 2e-2 - g.reshape(-1)[at]) < 2e-3, name
 
 
+def test_network_takes_one_softmax_for_all_groups(monkeypatch):
+    # A call for each group's few windows took more time than its numbers.
+    r, asked = np.random.default_rng(6), []
+    for name in ("_softmax", "_log_at"):
+        monkeypatch.setattr(pl, name, lambda *a, of=getattr(pl, name), name=name: (asked.append(name), of(*a))[1])
+    net = pl.Network(SMALL, np.arange(64))
+    batch = r.integers(0, SMALL.classes, (300, 5))
+    net.gradients(batch)
+    assert asked == ["_softmax"] * 2
+    # Logits whose exponentials are out of range, on either side.
+    for shift in (0, 500, -500):
+        net.p["bias_group"] += np.float32(shift)
+        net.p["bias"] += np.float32(shift)
+        logs = net.logs([batch[:, k] for k in (0, 1, 3, 4)], batch[:, 2])
+        assert np.abs(logs - [naive_class_log(net, x) for x in batch]).max() < 1e-3
+        assert all(np.isfinite(g).all() for g in net.gradients(batch).values())
+        for name in ("bias_group", "bias"):
+            net.p[name] -= np.float32(shift)
+    assert asked.count("_log_at") == 6
+
+
 def test_columns_of_words_are_what_one_word_after_another_gives():
     r = random.Random(4)
     texts = [None, "", " ", "A\x0bb\x1cC\x85 d\u00a0e\u3000F", "\r\n x  Y\tx ", "İ ÉTÉ été \x00 a\x00b", "z" * 63, "z" * 64, "z" * 65, "Q" * 5000 + " q"]
